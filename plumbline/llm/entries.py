@@ -16,6 +16,31 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import quality
+
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import sharding
+
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import embeddings
+
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import wavelet
 
@@ -35,10 +60,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op6_wavelet_tokens, op8_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_quality_trees, op4_histogram_sharding, op5_embedding_near_duplicates, op6_wavelet_tokens, op8_best_fit_packing, op10_decontamination)}
 
 SQL: dict[str, str] = {}
 
+SQL["op1_warc_dictionary"] = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT payload_digest, max(page_id) AS latest FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < latest THEN latest END AS refers_to
+FROM p JOIN g USING (payload_digest)
+"""
+
 SQL["op10_decontamination"] = r"""
 WITH item_words AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
