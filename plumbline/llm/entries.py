@@ -47,6 +47,15 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import licenses
+
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(docs))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"), families.alias("families"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import packing
 
@@ -60,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_quality_trees, op4_histogram_sharding, op5_embedding_near_duplicates, op6_wavelet_tokens, op8_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_quality_trees, op4_histogram_sharding, op5_embedding_near_duplicates, op6_wavelet_tokens, op7_licence_paragraphs, op8_best_fit_packing, op10_decontamination)}
 
 SQL: dict[str, str] = {}
 
