@@ -22,6 +22,12 @@ def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import jaccard
+
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import quality
 
@@ -69,7 +75,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_quality_trees, op4_histogram_sharding, op5_embedding_near_duplicates, op6_wavelet_tokens, op7_licence_paragraphs, op8_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_jaccard_rtree, op3_quality_trees, op4_histogram_sharding, op5_embedding_near_duplicates, op6_wavelet_tokens, op7_licence_paragraphs, op8_best_fit_packing, op10_decontamination)}
 
 SQL: dict[str, str] = {}
 
