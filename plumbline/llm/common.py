@@ -90,6 +90,12 @@ def runs_of(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = min(end, n)
 
 
+def table_of(batches) -> pa.Table | None:
+    """All batches of a partition; None where it has no rows."""
+    batches = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(batches) if batches else None
+
+
 def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import parts_for, stored
+from plumbline.llm.common import parts_for, stored, table_of
 from plumbline.llm.components import Forest, components
 
 LEAST = 0.93
@@ -129,8 +129,8 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     dealt = facts.repartition(parts_for(count * each, 150_000, 8), "spot")
 
     def verify(batches):
-        data = pa.Table.from_batches(list(batches))
-        if not data.num_rows:
+        data = table_of(batches)
+        if data is None:
             return
         for width in np.unique(lengths := pc.list_value_length(data.column("v")).to_numpy()):
             yield from verified(data.filter(pa.array(lengths == width)))

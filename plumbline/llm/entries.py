@@ -68,6 +68,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import repeats
+
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import decontam
 
@@ -75,7 +81,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_jaccard_rtree, op3_quality_trees, op4_histogram_sharding, op5_embedding_near_duplicates, op6_wavelet_tokens, op7_licence_paragraphs, op8_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_jaccard_rtree, op3_quality_trees, op4_histogram_sharding, op5_embedding_near_duplicates, op6_wavelet_tokens, op7_licence_paragraphs, op8_best_fit_packing, op9_suffix_repeats, op10_decontamination)}
 
 SQL: dict[str, str] = {}
 
@@ -89,6 +95,26 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p JOIN g USING (payload_digest)
 """
 
+SQL["op9_suffix_repeats"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substring(x, 2 * p + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS u(p) WHERE n >= 50),
+g AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT w.doc_id, w.p, w.p - row_number() OVER (PARTITION BY w.doc_id ORDER BY w.p) AS run FROM w JOIN g USING (s) WHERE g.least < w.doc_id),
+part AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM hit GROUP BY doc_id, run),
+new AS (SELECT doc_id, a, b, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS first FROM part),
+numbered AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM new),
+span AS (SELECT doc_id, k, min(a) AS a, max(b) AS b FROM numbered GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS back FROM span),
+kept AS (
+  SELECT p.doc_id, sum(p.b - p.a) AS gone, count(*) AS spans,
+         string_agg(substring(d.x, 2 * p.last + 1, 2 * (p.a - p.last)), '' ORDER BY p.a) || max(CASE WHEN p.back = 1 THEN substring(d.x, 2 * p.b + 1) ELSE '' END) AS rest
+  FROM pieces p JOIN d USING (doc_id) GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.rest, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
 SQL["op10_decontamination"] = r"""
 WITH item_words AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,

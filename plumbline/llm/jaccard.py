@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import blob, flat, parts_for, runs_of, stored, text_bytes
+from plumbline.llm.common import blob, flat, parts_for, runs_of, stored, table_of, text_bytes
 from plumbline.llm.components import EDGES, Forest, components
 from plumbline.llm.shingles import mix, shingle_sets
 
@@ -227,8 +227,8 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
     points = facts.groupBy("id").agg(F.max(F.struct("n", "v")).alias("f")).select("id", "f.n", "f.v")
 
     def join(batches):
-        data = pa.Table.from_batches(list(batches))
-        if not data.num_rows:
+        data = table_of(batches)
+        if data is None:
             return
         h, ids, n = (data.column(c).to_numpy() for c in ("list", "id", "n"))
         order = np.lexsort((ids, h))
@@ -284,8 +284,8 @@ def verified_edges(rows: DataFrame, groups: DataFrame, parts: int, block: int) -
     seats = seats.select("id", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "component").withColumn("spot", F.xxhash64("component", "i", "j"))
 
     def verify(batches):
-        data = pa.Table.from_batches(list(batches))
-        if not data.num_rows:
+        data = table_of(batches)
+        if data is None:
             return
         ids, spot, b, i, j = (data.column(c).to_numpy() for c in ("id", "spot", "b", "i", "j"))
         held = data.column("set")
