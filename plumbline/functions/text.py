@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clean_text(c, most: int | None = None) -> Column:
@@ -16,24 +17,24 @@ def clean_text(c, most: int | None = None) -> Column:
     return F.substring(out, 1, most) if most else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_text(s: pd.Series) -> pd.Series:
     """NFKC, white space collapsed, case folded: the identity of a text."""
     return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def review_key(s: pd.Series) -> pd.Series:
     """White space collapsed, case folded: how quotes are looked up in texts."""
     return s.map(lambda t: None if t is None else " ".join(t.split()).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_diacritics(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_review(s: pd.Series) -> pd.Series:
     """HTML entities decoded, white space collapsed in each line, empty lines dropped."""
     return s.map(lambda t: "\n".join(x for x in (" ".join(line.split()) for line in html.unescape(t or "").splitlines()) if x))
