@@ -97,7 +97,7 @@ def city_of(address) -> Column:
 
 def tag_list(c) -> Column:
     """The strings of a list literal such as "[' Leisure trip ', ' Couple ']", trimmed."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"'([^']*)'"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(c, F.lit(r"'([^']*)'"), F.lit(1)), lambda x: F.trim(x))
 
 
 def first_of(tags, wanted: tuple[str, ...]) -> Column:
