@@ -1,0 +1,315 @@
+"""Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from plumbline.llm import decontam, embeddings, jaccard, licenses, packing, quality, repeats, sharding, warc, wavelet
+from plumbline.llm.common import encoder
+from plumbline.llm.induced import suffix_blocks
+from plumbline.llm.shingles import shingle_sets
+from plumbline.llm.windows import LENGTH, runs
+
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+DOCS = "doc_id long, text string, size long, n_words long, slot long, id long"
+
+
+def words(rng, n, pool=400):
+    return " ".join(f"w{rng.integers(pool)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(5)
+    base = words(rng, 120)
+    near = base.replace(" w1", " v1", 1)
+    passage = words(rng, 40)
+    long = words(rng, 30_000)
+    texts = [base, base, near, base.upper(), words(rng, 80) + " " + passage, passage + " " + words(rng, 90), "", None, " \n\t", "one two", "One  Two", "one two three four five", long, long + " end", "é" * 60 + " ü", "x" + "é" * 60, "MIT License\nReleased under the MIT License.\n" + words(rng, 20), "b " * 200, "B " * 150, words(rng, 9), base]
+    out = [(i, t, 1, 2, 3, 4) for i, t in enumerate(texts)]
+    return out + [(0, texts[4], 1, 2, 3, 4), (None, base, 1, 2, 3, 4), (None, None, 1, 2, 3, 4)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_shingle_sets():
+    rng = np.random.default_rng(0)
+    texts = [words(rng, int(rng.integers(0, 12)), 3) for _ in range(300)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    h, b = shingle_sets(data, np.r_[0, np.cumsum([len(t) for t in texts])])
+    assert [len(shingles(t)) for t in texts] == np.diff(b).tolist()
+    names = {}
+    for t, x, y in zip(texts, b[:-1], b[1:], strict=True):
+        for s in (frozenset(h[x:y].tolist()),):
+            assert names.setdefault(frozenset(shingles(t)), s) == s
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_jaccard(docs, rows, empty, block):
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.links(docs, block=block).collect()}
+    nodes = {}
+    for i, t, *_ in rows:
+        nodes.setdefault(i, []).append(shingles(t))
+    up = {i: i for i in nodes if i is not None}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(sorted(up), 2):
+        for a, b in itertools.product(nodes[i], nodes[j]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    assert got == {(i, len(shingles(t)), None if i is None else find(i)) for i, t, *_ in rows}
+    if block == 3:
+        assert jaccard.links(empty).count() == 0
+
+
+def test_rtree_loses_no_pair():
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 6, (300, jaccard.GROUPS)).astype(np.uint16)
+    v[150:] = v[:150] + (rng.random((150, jaccard.GROUPS)) < 0.05)
+    n = v.sum(1).astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    tree = jaccard.Tree(v[order], n[order])
+    leaves = {tuple(p) for p in tree.leaf_pairs().tolist()}
+    for i, j in itertools.combinations(range(300), 2):
+        a, b = n[order][i], n[order][j]
+        if jaccard.comparable(a, b) and jaccard.bound(v[order][i], v[order][j]) >= jaccard.need(a, b):
+            assert (i // jaccard.LEAF, j // jaccard.LEAF) in leaves
+
+
+def test_suffix_blocks():
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        t = rng.integers(0, 4, int(rng.integers(1, 90))).astype(np.uint16)
+        if trial % 3 == 0:
+            t = np.tile(t[: max(1, len(t) // 4)], 4)
+        cap, by = int(rng.integers(2, 12)), {}
+        for p, x in suffix_blocks(t, cap, memory=[1 << 28, 64][trial % 2]):
+            by.setdefault(int(t[p[0]]), []).append((p, x))
+        places = np.concatenate([p for c in sorted(by) for p, _ in by[c]])
+        lcps = np.concatenate([x for c in sorted(by) for _, x in by[c]])
+        s = [t[i : i + cap].tolist() for i in places]
+        assert sorted(places.tolist()) == list(range(len(t))) and s == sorted(s)
+        same = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert lcps.tolist() == [0, *(same(a, b) for a, b in itertools.pairwise(s))]
+
+
+def test_windows_cover_all_and_agree():
+    rng = np.random.default_rng(3)
+    part = rng.integers(97, 100, 300).astype(np.uint8)
+    data = np.concatenate([part, rng.integers(97, 123, 49).astype(np.uint8), part])
+    of, first, n, h = runs(data, np.array([0, 300, 349, 649]))
+    assert n.sum() == 2 * 251 and set(of) == {0, 2}
+    at = {}
+    for o, f, k, x in zip(of, first, n, h, strict=True):
+        for p in range(f, f + k):
+            assert at.setdefault(data[p : p + LENGTH].tobytes(), x) == x
+
+
+def test_repeats(docs, rows, empty):
+    least = {}
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - LENGTH + 1):
+            k = b[p : p + LENGTH]
+            least[k] = min(least.get(k, 2**63), 2**63 if i is None else i)
+    want = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - LENGTH + 1):
+            if least[b[p : p + LENGTH]] < (2**63 if i is None else i):
+                gone[p : p + LENGTH] = True
+        spans = int((np.diff(gone.astype(int)) == 1).sum() + gone[0])
+        want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest()))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, repeats.removed(docs).collect()), key=key) == sorted(want, key=key)
+    cut = {(r["doc_id"], r["id"]): r["text"] for r in repeats.without_repeats(docs).collect() if r["doc_id"] == 1}
+    assert cut == {(1, 4): ""} and repeats.removed(empty).count() == 0
+
+
+def test_contamination(spark, docs, rows, empty):
+    rng = np.random.default_rng(5)
+    words(rng, 120)
+    passage = words(rng, 40)
+    items = [(1, passage), (2, "One, two!"), (3, ""), (4, None), (None, "three four"), (1, passage)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
+    wins = {(("" if i is None else str(i)), tuple(w[k : k + 10])) for i, t in items if (w := table(t)) for k in range(max(1, len(w) - 9))}
+    want = []
+    for i, t, *_ in rows:
+        w, hit, found = table(t), set(), set()
+        for item, x in wins:
+            for k in range(len(w) - len(x) + 1):
+                if tuple(w[k : k + len(x)]) == x:
+                    hit |= set(range(k, k + len(x)))
+                    found.add(item)
+        want.append((str(i), len(w), len(hit), tuple(sorted(found))))
+    for most in (1 << 20, 60):
+        got = decontam.contamination(docs, bench, most_bytes=most).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == sorted(want)
+    span = next(r["spans"] for r in got if r["doc_id"] == 9)
+    assert [(s["start"], s["end"]) for s in span] == [(0, 7)]
+    kept = decontam.clean_documents(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not w[2] for w in want)
+    assert decontam.contamination(empty, bench).count() == 0 and decontam.clean_documents(docs, bench.where("false")).count() == len(rows)
+
+
+def test_packing(docs, rows, empty):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack(docs, path, with_ids=True).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: (str(r["doc_id"]), r["start"])):
+        assert 0 < r["length"] <= 4096 and zlib.crc32(r["ids"]) == r["ids_crc32"]
+    pieces = sorted(zlib.crc32(encoder(path)(t or "") + (1).to_bytes(4, "little")) for _, t, *_ in rows if len(encoder(path)(t or "")) < 4 * 4096)
+    assert pieces == sorted(r["ids_crc32"] for r in got if r["start"] == 0 and r["length"] < 4096)
+    for r in got:
+        whole.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for bins in whole.values():
+        at = 0
+        for offset, length in sorted(bins):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    p = packing.Packer(10, 2)
+    assert [p.place(x) for x in (6, 7, 3, 9, 4, 1)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6), (2, 9)]
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_wavelet(docs, rows, empty):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = wavelet.round_trip(docs, path, shard_bytes=30_000).collect()
+    ids = {}
+    for i, t, *_ in rows:
+        b = encoder(path)(t or "") + (2).to_bytes(4, "little")
+        ids.setdefault(i, []).append((len(b) // 4, zlib.crc32(b)))
+    assert sorted(map(str, ((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got))) == sorted(map(str, ((i, *x) for i, xs in ids.items() for x in xs)))
+    order = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in order] == np.r_[0, np.cumsum([r["n_tokens"] for r in order])[:-1]].tolist()
+    known = [r["doc_id"] for r in order if r["doc_id"] is not None]
+    assert known == sorted(known) and wavelet.round_trip(empty, path).count() == 0
+    t = np.random.default_rng(0).integers(0, 200, 500).astype(np.uint16)
+    m = wavelet.read_shard(b"".join(wavelet.write_shard(t, np.array([0]), np.array([1]), 16)))[0]
+    assert (m.access(np.arange(500)) == t).all() and (m.tokens() == t).all()
+    assert m.occurrences(int(t[3])) == np.flatnonzero(t == t[3]).tolist() and m.rank(int(t[3]), 250) == (t[:250] == t[3]).sum() and m.count(60000) == 0
+
+
+def test_warc(spark):
+    a, b = "x" * 1500, "y" * 999
+    pages = [(1, "http://a", a), (2, "http://b\r\nEvil: 1", a), (3, None, b), (4, "u", b), (5, "u", None), (6, "u", "é" * 600), (None, "u", a), (7, "u", a), (7, "v", a)]
+    df = spark.createDataFrame([(*p, 9) for p in pages], "page_id long, url string, html string, payload_bytes long")
+    got = warc.round_trip(df).collect()
+    want = [(i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), *(("revisit", 7) if h == a and i in (1, 2) else ("response", None))) for i, _, h in pages]
+    key = lambda r: str(r)
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
+    assert warc.round_trip(df.where("false")).count() == 0
+    long = [warc.record(i, "u", bytes([65 + i % 20]) * 50_000, hashlib.sha1(bytes([65 + i % 20]) * 50_000).hexdigest(), None) for i in range(5)]
+    d = warc.dictionary(long)
+    import zstandard
+
+    z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d))
+    assert list(warc.records_of(warc.SKIPPABLE + len(d).to_bytes(4, "little") + d + b"".join(map(z.compress, long)))) == long
+
+
+def test_sharding(docs, rows, empty):
+    out = sharding.shard(docs, 4, pieces=2).collect()
+    assert len(out) == len(rows)
+    for k in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
+    sizes = sorted((r["size"], r["text_crc32"]) for r in out)
+    assert sizes == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
+    assert sharding.shard(empty, 4).count() == 0
+
+
+def test_sharding_balances_a_hot_text(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'the same text' else concat('text number ', id) end as text")
+    out = sharding.shard(df, 8).groupBy("shard").sum("size").collect()
+    s = [r[1] for r in out]
+    assert len(s) == 8 and max(s) - min(s) < 0.05 * sum(s) / 8
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 24))
+    x = np.concatenate([x, x[:30] + 0.2 * rng.normal(size=(30, 24)), x[:10], np.repeat(x[:1], 80, 0) + 0.01 * rng.normal(size=(80, 24))])
+    data = [(i, [float(np.float32(v)) for v in r], i % 60 % 3) for i, r in enumerate(x)]
+    odd = [(900, None, 1), (901, [0.0] * 24, 1), (902, [float("nan")] * 24, 1), (903, [None] * 24, 1), (904, data[0][1], None), (905, data[0][1][:20], 0), (906, [], 0)]
+    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, block=16).collect()}
+    v = np.array([d[1] for d in data])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    label = np.array([d[2] for d in data])
+    link = (v @ v.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    assert len(got) == len(data) + len(odd)
+    n = np.array([got[i]["n_links"] for i in range(len(data))])
+    assert (n <= link.sum(1)).all() and n.sum() >= 0.97 * link.sum()
+    if n.sum() == link.sum():
+        reach = np.linalg.matrix_power((link | np.eye(len(v), dtype=bool)).astype(float), 64) > 0
+        assert [got[i]["component_id"] for i in range(len(v))] == reach.argmax(1).tolist()
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i, *_ in odd)
+    assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+def test_quality(spark, docs, rows, empty):
+    rng = np.random.default_rng(1)
+    good = [(1000 + i, words(rng, 80), 1) for i in range(80)]
+    bad = [(2000 + i, f"w{rng.integers(400)}!! " * 60, 0) for i in range(80)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in good + bad] + [(None, None), (5, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in good + bad] + [(None, 1), (1000, None), (1001, 1)], "doc_id long, quality int")
+    out = quality.scores(df, labels, trees=20).collect()
+    held = [r for r in out if r["held_out"] and r["doc_id"] is not None]
+    assert held and all(r["predicted"] == (r["doc_id"] < 2000) for r in held if r["doc_id"] >= 1000)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out) and len(out) == 162
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
+    kept = quality.keep_good(df, labels, trees=20)
+    assert {r["doc_id"] for r in kept.collect()} >= {i for i, *_ in good} and kept.where("doc_id >= 2000").count() == 0
+    assert quality.scores(docs, labels.where("false")).count() == len(rows) and quality.scores(empty, labels).count() == 0
+
+
+def test_licences(spark, docs, rows, empty):
+    model = licenses.train(docs, epochs=40)
+    got = {r["doc_id"]: r for r in licenses.scan(docs, model).collect()}
+    assert [(x["family"], x["start"], x["end"]) for x in got[16]["licences"]][-1] == ("MIT", 12, 43)
+    assert not any(r["licences"] for i, r in got.items() if i != 16) and licenses.scan(empty, model).count() == 0
+    t = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0\nhello there friend"), (2, "a driver's license is needed for the car"), (3, "Licensed under CC BY-NC 4.0")], "doc_id long, text string")
+    assert [[x["family"] for x in r["licences"]] for r in licenses.scan(t, model).orderBy("doc_id").collect()] == [["Apache-2.0"], [], ["CC-BY-NC"]]
+
+
+def test_encoder_is_the_tokenizer():
+    import public_tokenizers
+
+    from plumbline.llm.common import tokenizer
+
+    rng = np.random.default_rng(0)
+    parts = ["a", "B", "'s", "'", "  ", " ", "\n", "\n\n", "\t", "\r", "é", "é", " ", "7", "123", "!", "...", "<|endoftext|>", "İ", "ß", "中", "‍", "😀", "\x1c", "\x85", "_", "Σ", "ﬁ", " Word", " word,"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        for _ in range(2000):
+            t = "".join(rng.choice(parts, int(rng.integers(0, 10))))
+            assert encoder(path)(t) == np.array(tokenizer(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
