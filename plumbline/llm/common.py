@@ -6,8 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +96,22 @@ def table_of(batches) -> pa.Table | None:
     return pa.Table.from_batches(batches) if batches else None
 
 
+def lean(run):
+    """run over a partition, after which the worker returns the memory that it freed to the system."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            import ctypes
+
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # no glibc
+            pass
+
+    return wrapped
+
+
 def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
@@ -166,43 +182,46 @@ class Encoder:
     #: Fixed values of byte-level BPE: bytes that stand for themselves; the others stand as U+0100 and on, in their order.
     SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         t = tokenizer(path)
         self.encode, self.tokenize = t.encode, t.model.tokenize
+        if hasattr(t.model, "_resize_cache"):
+            t.model._resize_cache(0)  # the pieces are cached here
         self.normalize, self.divide = t.normalizer and t.normalizer.normalize_str, t.pre_tokenizer.pre_tokenize_str
-        self.words, self.pieces = Cache(self._word, 2 * most), Cache(self._piece, most)
+        self.pieces = Cache(self._piece, most)
         others = [b for b in range(256) if b not in set(self.SELF)]
         self.letters = {b: 256 + i for i, b in enumerate(others)}
         self.byte_level = t.normalizer is None
         probe = "Ab\u00c9 cd, ef\ngh!?"
         self.plain = True
         self.plain = b"".join(map(self._piece, self.SPLIT(probe))) == self._ids(probe)
+        self.pieces.clear()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = [x.id for x in self.tokenize(word)]
-        return pack(f"<{len(ids)}I", *ids)
+        return array("I", [x.id for x in self.tokenize(word)]).tobytes()
 
-    def _mapped(self, word: str) -> bytes:
-        return self.words[word if word.isascii() and " " not in word and "\n" not in word else word.encode().decode("latin-1").translate(self.letters)]
+    def _mapped(self, word: str) -> str:
+        return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
 
     def _piece(self, piece: str) -> bytes:
+        if self.byte_level and self.plain and piece.isascii() and piece[0] == " " and piece[1:].isalpha():
+            return self._word("\u0120" + piece[1:])
         if self.plain and (m := self.PLAIN(piece)):
             space, word, marks = m.groups()
+            if marks:
+                return self.pieces[piece[: -len(marks)]] + self._word(marks)
             if not self.byte_level:
-                ids = self._mapped(word.lower())
-            elif space == " ":
-                ids = self.words["\u0120" + word] if word.isascii() else self._mapped(" " + word)
-            else:
-                ids = self._mapped(word)
-                if space:
-                    ids = self._mapped(space) + ids
-            return ids + self.words[marks] if marks else ids
+                small = word.lower()
+                return self._word(self._mapped(small)) if small == piece else self.pieces[small]
+            if space == " ":
+                return self._word("\u0120" + self._mapped(word))
+            return self._word(self._mapped(space)) + self.pieces[word] if space else self._word(self._mapped(word))
         if self.normalize:
             piece = self.normalize(piece)
-        return b"".join([self.words[word] for word, _ in self.divide(piece)])
+        return b"".join([self._word(word) for word, _ in self.divide(piece)])
 
     def __call__(self, text: str) -> bytes:
         if self.OTHER(text):

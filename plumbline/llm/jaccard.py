@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import blob, flat, parts_for, runs_of, stored, table_of, text_bytes
+from plumbline.llm.common import blob, flat, lean, parts_for, runs_of, stored, table_of, text_bytes
 from plumbline.llm.components import EDGES, Forest, components
 from plumbline.llm.shingles import mix, shingle_sets
 
 GROUPS, LEAF, FAN = 64, 32, 16
 SKETCH_BITS, SKETCH_PIECE = 22, 1 << 16
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BLOCK = 1024
 #: Hash slots of the filter that spares texts in no candidate component the second look; a full filter only spares none.
 FILTER = 1 << 20
@@ -150,7 +150,7 @@ def described(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([z.compress(part.tobytes())], pa.binary())], names=["piece", "id", "n", "print", "data"])
 
-    both = stored(rows.mapInArrow(run, "piece int, id long, n long, print binary, data binary"), "shingles")
+    both = stored(rows.mapInArrow(lean(run), "piece int, id long, n long, print binary, data binary"), "shingles")
     return both.where("piece is null").select("id", "n", "print", F.col("data").alias("v")), both.where("piece is not null").select("piece", "data")
 
 
@@ -220,7 +220,7 @@ def shared_prefixes(rows: DataFrame, level, parts: int) -> DataFrame:
         for s in range(0, len(h), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(h[s : s + 50_000]), pa.array(names[s : s + 50_000])], names=["list", "id"])
 
-    return rows.mapInArrow(emit, "bucket long, h binary, ids binary").repartition(parts, "bucket").mapInArrow(meet, "list long, id long")
+    return rows.mapInArrow(lean(emit), "bucket long, h binary, ids binary").repartition(parts, "bucket").mapInArrow(lean(meet), "list long, id long")
 
 
 def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
@@ -259,7 +259,7 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
             candidates(ids[edge[g] : edge[g + 1]], v[edge[g] : edge[g + 1]], n[edge[g] : edge[g + 1]], forest)
         yield edges_of(forest)
 
-    return lists.join(points, "id").repartition(parts, "list").mapInArrow(join, EDGES)
+    return lists.join(points, "id").repartition(parts, "list").mapInArrow(lean(join), EDGES)
 
 
 def verified_edges(rows: DataFrame, groups: DataFrame, parts: int, block: int) -> DataFrame:
@@ -277,7 +277,7 @@ def verified_edges(rows: DataFrame, groups: DataFrame, parts: int, block: int) -
                 for ids, h, bounds in in_chunks([kept]):
                     yield pa.RecordBatch.from_arrays([ids, pa.array([blob(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "set"])
 
-    held = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int")).mapInArrow(sets, "id long, set binary")
+    held = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int")).mapInArrow(lean(sets), "id long, set binary")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     seats = groups.join(sizes, "component").select(F.col("node").alias("id"), "component", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("b"))
     seats = seats.select("id", "component", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
@@ -298,7 +298,7 @@ def verified_edges(rows: DataFrame, groups: DataFrame, parts: int, block: int) -
             linked(ids[at], s, np.where(i[at] == j[at], 2, (b[at] == j[at]).astype(int)), forest)
         yield edges_of(forest)
 
-    return seats.join(held, "id").repartition(parts, "spot").mapInArrow(verify, EDGES)
+    return seats.join(held, "id").repartition(parts, "spot").mapInArrow(lean(verify), EDGES)
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, forest: Forest) -> None:
