@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import encoder, parts_for, scratch, stored, text_bytes, write_file
+from plumbline.llm.common import encoder, lean, parts_for, scratch, stored, text_bytes, write_file
 
 MAGIC = b"WMTX0001"
 SHARD_BYTES = 24 << 20
@@ -31,9 +31,9 @@ def planes_of(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     """Packed bit-planes, highest bit first."""
     planes, ids = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for k in range(bits - 1, -1, -1):
-        bit = (ids >> k) & 1 != 0
+        bit = ((ids >> k) & 1).astype(bool)
         planes.append(np.packbits(bit, bitorder="little"))
-        ids = np.concatenate([ids[~bit], ids[bit]])
+        ids = np.concatenate([ids.compress(~bit), ids.compress(bit)])
     return planes
 
 
@@ -111,8 +111,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.words[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(ids)
             zeros = self.zeros[k]
-            up[~bit] = ids[:zeros]
-            up[bit] = ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~bit)] = ids[:zeros]
+            up[np.flatnonzero(bit)] = ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - k))
             ids = up
         return ids
 
@@ -158,7 +158,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: i
             write_file(path, write_shard(np.concatenate(ids), np.cumsum(lengths) - lengths, np.concatenate(names), bits))
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(lengths)], "n_tokens": [sum(lengths)]})
 
-    return stored(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "manifest")
+    return stored(ordered.mapInArrow(lean(run), "shard long, path string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_corpus(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def read_corpus(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64(), mask=names == -(2**63)), pa.array(np.full(len(starts), shard), pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "shard", "at", "n_tokens", "ids_crc32"])
 
     # one row, and so one Arrow batch, for each file: a file is never joined with others in memory
-    rows = files.mapInArrow(run, "doc_id long, shard long, at long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(run), "doc_id long, shard long, at long, n_tokens long, ids_crc32 long")
     before = manifest.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
     return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
