@@ -177,7 +177,10 @@ def found(text: bytes, model: Model, agree: float) -> list[dict]:
 
 def train(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE, **options) -> Model:
     """Unknown paragraphs: one from each of at most `sample` documents, by the order of a hash of the text."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    order = F.pmod(F.xxhash64(text), F.lit(1 << 30))
+    # a cut that leaves about `sample` rows, so that no partition sends more than it must
+    cut = int(min(1.0, sample / max(1, docs.count())) * (1 << 30))
+    rows = docs.where(F.col(text).isNotNull() & (order < F.lit(cut))).select(F.col(text).alias("t"), order.alias("h"))
     rows = rows.select("h", F.element_at(F.split("t", "\n"), 1).alias("p")).where(F.length("p") > 0).select("h", F.substring("p", 1, 400).alias("p"))
     got = [r["p"].encode() for r in rows.orderBy("h", "p").limit(sample).collect()]
     return fit([g for g in got if not HINT.search(g)], **options)
