@@ -169,6 +169,22 @@ class Carry:
         return out
 
 
+def together(store: Store, queue: list, done: int, upto: int):
+    """The queue's blocks from done to upto, joined to a few large ones; a symbol's first item shares nothing with the one before."""
+    places, lcps, size = [], [], 0
+    for k in range(done, upto):
+        p, l = store.get(queue[k])
+        if k == 0:
+            l = l.copy()
+            l[0] = 0
+        places.append(p)
+        lcps.append(l)
+        size += len(p)
+        if size >= BLOCKSIZE or k == upto - 1:
+            yield np.concatenate(places), np.concatenate(lcps)
+            places, lcps, size = [], [], 0
+
+
 def suffix_blocks(t: np.ndarray, cap: int, symbols: int = 257, memory: int = 256 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, lcps) blocks for each symbol from the highest down, ascending within a symbol; lcp is with the suffix
     before it, 0 for a symbol's first."""
@@ -207,38 +223,26 @@ def suffix_blocks(t: np.ndarray, cap: int, symbols: int = 257, memory: int = 256
     carry = Carry(symbols, cap)
     store.put(low[t[n - 1]], np.array([n - 1], kind), np.zeros(1, np.uint8))
     for c in present.tolist():
-        done, depth, last = 0, 0, None
+        done, last = 0, None
         while done < len(low[c]):  # a round for each length of the symbol's runs
             upto = len(low[c])
-            for k in range(done, upto):
-                p, l = store.get(low[c][k])
-                if k == 0 or k == done:
-                    l = l.copy()
-                    l[0] = min(depth, cap)
-                    if isinstance(low[c][k][0], np.ndarray):
-                        low[c][k][1] = l
+            for p, l in together(store, low[c], done, upto):
                 induce(p, l, carry, low, lambda q, x: ~s[q])
                 last = p[-1]
-            done, depth = upto, depth + 1
+            done = upto
         p, l = order[bounds[c] : bounds[c + 1]], star_lcp[bounds[c] : bounds[c + 1]].copy()
         if len(p):
             l[0] = 0 if last is None else min(run(last), run(p[0]))
             induce(p, l, carry, low, lambda q, x: ~s[q])
     carry = Carry(symbols, cap)
     for c in present[::-1].tolist():
-        done, depth, last = 0, 0, None
+        done, last = 0, None
         while done < len(high[c]):
             upto = len(high[c])
-            for k in range(done, upto):
-                p, l = store.get(high[c][k])
-                if k == 0 or k == done:
-                    l = l.copy()
-                    l[0] = min(depth, cap)
-                    if isinstance(high[c][k][0], np.ndarray):
-                        high[c][k][1] = l
+            for p, l in together(store, high[c], done, upto):
                 induce(p, l, carry, high, lambda q, x: s[q])
                 last = p[-1]
-            done, depth = upto, depth + 1
+            done = upto
         blocks = [store.get(b) for b in low[c]]
         if blocks:
             p, l = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])

@@ -26,12 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, blob, flat, parts_for, runs_of, table_of, text_bytes
+from plumbline.llm.common import as_bytes, blob, flat, lean, parts_for, runs_of, table_of, text_bytes
 from plumbline.llm.induced import suffix_blocks
 from plumbline.llm.windows import LENGTH, runs
 
-CHUNK = 2 << 20
-SLOT_BYTES = 6 << 20
+CHUNK = 1 << 20
+SLOT_BYTES = 8 << 20
+#: Bytes of all texts for each shard; the runs that a shard sorts are a part of that.
+SHARD_BYTES = 6 << 20
 NULL_ID = 2**63 - 1
 
 
@@ -88,7 +90,7 @@ def minimizers(rows: DataFrame, parts: int) -> DataFrame:
         fresh = np.r_[True, (h[1:] != h[:-1]) | (slot[1:] != slot[:-1])] if len(h) else np.zeros(0, bool)
         yield pa.RecordBatch.from_arrays(list(dealt(slot[fresh].astype(np.int64), h[fresh])), names=["slot", "h"])
 
-    return rows.mapInArrow(emit, "bucket long, h binary, slots binary").repartition(parts, "bucket").mapInArrow(meet, "slot long, h binary")
+    return rows.mapInArrow(lean(emit), "bucket long, h binary, slots binary").repartition(parts, "bucket").mapInArrow(lean(meet), "slot long, h binary")
 
 
 RUNS = "shard long, texts binary, sizes binary, counts binary, which binary, ids binary, keys binary, starts binary, slot long"
@@ -101,14 +103,16 @@ def run_texts(shards: int):
         out = []
         data, offsets = flat(left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string()))
         ids, keys = left.column("id").to_numpy(), left.column("key").to_numpy()
-        of, first, n, h = runs(data, offsets)
-        if len(flags) and len(h):
-            at = np.minimum(np.searchsorted(flags, h), len(flags) - 1)
-            some = flags[at] == h
-            of, first, n, h = of[some], first[some], n[some], h[some]
+        found = []
+        for a, b in runs_of(offsets, CHUNK) if len(flags) else []:
+            of, first, n, h = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            some = flags[np.minimum(np.searchsorted(flags, h), len(flags) - 1)] == h
+            found.append((of[some] + a, first[some] + offsets[a], n[some], h[some]))
+        if found:
+            of, first, n, h = map(np.concatenate, zip(*found, strict=True))
             raw, size = data.tobytes(), n + LENGTH - 1
             shard = (h >> np.uint64(17)).astype(np.int64) % shards
-            z = zstandard.ZstdCompressor(level=1)
+            z = zstandard.ZstdCompressor(level=3)
             order = np.argsort(shard, kind="stable")
             edge = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True]) if len(order) else []
             for x, y in zip(edge[:-1], edge[1:], strict=True):
@@ -173,15 +177,16 @@ def shard_spans(data: pa.Table, memory: int):
 def spans_of(rows: DataFrame, total: int, memory: int = 192 << 20) -> DataFrame:
     """(slot, ids, keys, froms, tos): blobs of byte spans to remove, not yet joined."""
     parts = parts_for(total, 16 << 20, 8)
+    shards = parts_for(total, SHARD_BYTES, 8)
     flags = minimizers(rows, parts)
-    cut = rows.groupBy("slot").cogroup(flags.groupBy("slot")).applyInArrow(run_texts(parts), RUNS)
+    cut = rows.groupBy("slot").cogroup(flags.groupBy("slot")).applyInArrow(run_texts(shards), RUNS)
 
     def sort(batches):
         data = table_of(batches)
         if data is not None:
             yield from shard_spans(data, memory)
 
-    return cut.repartition(parts, "shard").mapInArrow(sort, "slot long, ids binary, keys binary, froms binary, tos binary")
+    return cut.repartition(shards, "shard").mapInArrow(lean(sort), "slot long, ids binary, keys binary, froms binary, tos binary")
 
 
 def joined(right: pa.Table) -> dict[tuple[int, int], list[tuple[int, int]]]:
