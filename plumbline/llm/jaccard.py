@@ -31,7 +31,7 @@ from plumbline.llm.common import blob, flat, lean, parts_for, runs_of, stored, t
 from plumbline.llm.components import EDGES, Forest, components
 from plumbline.llm.shingles import mix, shingle_sets
 
-GROUPS, LEAF, FAN = 64, 32, 16
+GROUPS, LEAF, FAN = 512, 32, 16
 SKETCH_BITS, SKETCH_PIECE = 22, 1 << 16
 CHUNK = 1 << 20
 BLOCK = 1024
@@ -49,17 +49,17 @@ def comparable(a, b):
 
 
 def vectors_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """uint16 count vectors; a count over its type's range stays at the top, which the bound treats as no limit."""
+    """uint8 count vectors; a count over its type's range stays at the top, which the bound treats as no limit."""
     n = len(bounds) - 1
     at = np.repeat(np.arange(n), np.diff(bounds)) * GROUPS + (h >> np.uint64(8)).astype(np.int64) % GROUPS
-    return np.minimum(np.bincount(at, minlength=n * GROUPS), 65535).astype(np.uint16).reshape(n, GROUPS)
+    return np.minimum(np.bincount(at, minlength=n * GROUPS), 255).astype(np.uint8).reshape(n, GROUPS)
 
 
 def bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Summed coordinate minima over the last axis; unlimited where both stand at the top of their type."""
     m = np.minimum(p, q)
     s = m.sum(-1, dtype=np.int64)
-    full = (m == 65535).any(-1)
+    full = (m == 255).any(-1)
     return np.where(full, 1 << 62, s) if full.any() else s
 
 
@@ -94,9 +94,9 @@ class Tree:
             ok = (4 * hi[a] >= 3 * lo[b]) & (4 * hi[b] >= 3 * lo[a])
             pairs = pairs[ok]
             out = []
-            for s in range(0, len(pairs), 4096):
-                a, b = pairs[s : s + 4096].T
-                out.append(pairs[s : s + 4096][bound(self.tops[level][a], self.tops[level][b]) >= need(lo[a], lo[b])])
+            for s in range(0, len(pairs), 2048):
+                a, b = pairs[s : s + 2048].T
+                out.append(pairs[s : s + 2048][bound(self.tops[level][a], self.tops[level][b]) >= need(lo[a], lo[b])])
             pairs = np.concatenate(out) if out else pairs
         return pairs
 
@@ -235,7 +235,7 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
         h, ids, n = h[order], ids[order], n[order]
         again = np.r_[False, (h[1:] == h[:-1]) & (ids[1:] == ids[:-1])]
         order, h, ids, n = order[~again], h[~again], ids[~again], n[~again]
-        v = np.frombuffer(b"".join(data.column("v").to_pylist()), np.uint16).reshape(-1, GROUPS)[order]
+        v = np.frombuffer(b"".join(data.column("v").to_pylist()), np.uint8).reshape(-1, GROUPS)[order]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
         size, forest = np.diff(edge), Forest()
         # lists that fit a leaf are compared all at once
@@ -246,7 +246,7 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
         ends = np.cumsum(k)
         a = 0
         while a < len(p):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 100_000, "right")))
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 25_000, "right")))
             pp = np.repeat(p[a:b], k[a:b])
             qq = pp + 1 + np.arange(len(pp)) - np.repeat(np.cumsum(k[a:b]) - k[a:b], k[a:b])
             ok = comparable(n[pp], n[qq])

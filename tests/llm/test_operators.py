@@ -86,7 +86,7 @@ def test_jaccard(docs, rows, empty, block):
 
 def test_rtree_loses_no_pair():
     rng = np.random.default_rng(1)
-    v = rng.integers(0, 6, (300, jaccard.GROUPS)).astype(np.uint16)
+    v = rng.integers(0, 6, (300, jaccard.GROUPS)).astype(np.uint8)
     v[150:] = v[:150] + (rng.random((150, jaccard.GROUPS)) < 0.05)
     n = v.sum(1).astype(np.int64)
     order = np.argsort(n, kind="stable")
