@@ -32,7 +32,7 @@ from plumbline.llm.components import EDGES, Forest, components
 from plumbline.llm.shingles import mix, shingle_sets
 
 GROUPS, LEAF, FAN = 512, 32, 16
-SKETCH_BITS, SKETCH_PIECE = 22, 1 << 16
+SKETCH_BITS, SKETCH_PIECE = 24, 1 << 18
 CHUNK = 1 << 20
 BLOCK = 1024
 #: Hash slots of the filter that spares texts in no candidate component the second look; a full filter only spares none.
@@ -165,12 +165,15 @@ def levels(sketch: DataFrame) -> np.ndarray:
     """One byte for each slot of the sketch, growing with its count: spread over the counts' common range, then by doublings.
     Partial sums of up to 64 groups of partitions first, so no task gathers the pieces of all partitions."""
     grouped = sketch.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(64))).groupBy("piece", "part").applyInArrow(summed, "piece int, data binary")
-    counts = np.zeros(1 << SKETCH_BITS, np.float64)
-    for r in grouped.groupBy("piece").applyInArrow(summed, "piece int, data binary").collect():
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for r in grouped.groupBy("piece").applyInArrow(summed, "piece int, data binary").toLocalIterator():
         counts[r["piece"] * SKETCH_PIECE : (r["piece"] + 1) * SKETCH_PIECE] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint32)
-    usual, spread = np.median(counts), max(1.0, np.sqrt(np.median(counts)))
-    z = (counts - usual) / spread
-    return np.where(z <= 20, np.clip(z * 8 + 40, 0, 200), np.minimum(200 + 5 * np.log2(np.maximum(z, 20) / 20), 255)).astype(np.uint8)
+    usual = float(np.median(counts[::16]))
+    spread, out = max(1.0, usual**0.5), np.empty(len(counts), np.uint8)
+    for a in range(0, len(counts), SKETCH_PIECE):
+        z = (counts[a : a + SKETCH_PIECE] - usual) / spread
+        out[a : a + SKETCH_PIECE] = np.where(z <= 20, np.clip(z * 8 + 40, 0, 200), np.minimum(200 + 5 * np.log2(np.maximum(z, 20) / 20), 255))
+    return out
 
 
 def prefixes(h: np.ndarray, bounds: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +238,8 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
         h, ids, n = h[order], ids[order], n[order]
         again = np.r_[False, (h[1:] == h[:-1]) & (ids[1:] == ids[:-1])]
         order, h, ids, n = order[~again], h[~again], ids[~again], n[~again]
-        v = np.frombuffer(b"".join(data.column("v").to_pylist()), np.uint8).reshape(-1, GROUPS)[order]
+        v = flat(data.column("v").combine_chunks())[0].reshape(-1, GROUPS)[order]
+        del data
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
         size, forest = np.diff(edge), Forest()
         # lists that fit a leaf are compared all at once
@@ -259,7 +263,7 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
             candidates(ids[edge[g] : edge[g + 1]], v[edge[g] : edge[g + 1]], n[edge[g] : edge[g + 1]], forest)
         yield edges_of(forest)
 
-    return lists.join(points, "id").repartition(parts, "list").mapInArrow(lean(join), EDGES)
+    return lists.join(points, "id").repartition(4 * parts, "list").mapInArrow(lean(join), EDGES)
 
 
 def verified_edges(rows: DataFrame, groups: DataFrame, parts: int, block: int) -> DataFrame:
