@@ -81,9 +81,9 @@ def year_over_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.year_over_year(r, A.complaints(spark, sf_dir), T.windows_of(A.reviews(spark, sf_dir))))
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counts(spark: SparkSession, sf_dir: str, least: int = 30) -> DataFrame:
     r = A.reviews(spark, sf_dir)
-    return T.hotel_counts(r, A.complaints(spark, sf_dir), T.windows_of(r))
+    return T.hotel_counts(r, A.complaints(spark, sf_dir), T.windows_of(r, min_hotel_reviews=least))
 
 
 @query(f"WITH {VIEWS}{COUNTS} SELECT topic, hotel_id, period, reviews, complaining FROM hr")
@@ -97,8 +97,8 @@ SELECT topic, hotels, round(base_rate, 6) AS base_rate, round(recent_rate, 6) AS
 
 
 @query(WITHIN)
-def within_unit_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.within_hotel(_counts(spark, sf_dir)))
+def within_unit_change(spark: SparkSession, sf_dir: str, least: int = 30) -> DataFrame:
+    return rounded(T.within_hotel(_counts(spark, sf_dir, least)))
 
 
 @query()
