@@ -219,11 +219,16 @@ def shared_prefixes(rows: DataFrame, level, parts: int) -> DataFrame:
         h, names = h[order], names[order]
         same = h[1:] == h[:-1]
         both = np.r_[same, False] | np.r_[False, same]
-        h, names = h[both].view("<i8"), names[both]
+        h, names = h[both], names[both]
+        # a list is named by its members: shingles that the same texts share are one list
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[edge, len(h)])
+        total = np.add.reduceat(mix(names.astype(np.uint64)), edge) if len(edge) else np.zeros(0, np.uint64)
+        h = np.repeat(mix(total + size.astype(np.uint64)), size).view("<i8")
         for s in range(0, len(h), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(h[s : s + 50_000]), pa.array(names[s : s + 50_000])], names=["list", "id"])
 
-    return rows.mapInArrow(lean(emit), "bucket long, h binary, ids binary").repartition(parts, "bucket").mapInArrow(lean(meet), "list long, id long")
+    return rows.mapInArrow(lean(emit), "bucket long, h binary, ids binary").repartition(parts, "bucket").mapInArrow(lean(meet), "list long, id long").distinct()
 
 
 def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
