@@ -1,4 +1,4 @@
-"""Sharding by histogram sort: equal bytes for each shard, one exchange.
+"""Sharding by histogram sort: equal bytes for each shard, one exchange of the documents.
 
 Keys are (hash of the text, doc_id), so equal texts lie side by side. In each round every partition counts the exact
 bytes below a fixed number of probes for each splitter that is still open; the sums narrow each splitter's interval
@@ -6,9 +6,12 @@ until a probe lies within the tolerance of its target. A splitter falls between
 only where one text's copies outweigh the tolerance is it refined by doc_id, so a group of copies is parted only when a
 boundary must fall inside it. Each shard is dealt as `pieces` ranges of equal bytes, so neither a shard nor a group of
 copies is ordered by one task; a row's slot is the exact count of its shard's rows before its range plus its place there.
+The rounds read stored keys alone; then whole documents cross the exchange once and are written as Parquet, a folder for
+each shard, whose files are in the order of slots. Sizes and checksums come from the texts read back from there.
 
 Defined cases: a null text has no bytes beside the fixed cost; a null doc_id comes first; rows equal in text and doc_id
-stay in one range in any order; shards may be empty where rows are few; extra columns are ignored."""
+stay in one range in any order; shards may be empty where rows are few; every column of a document comes along in the
+struct `document`, so no name clashes."""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import scratch, stored
 
 COST = 16
 #: Of a shard's bytes.
@@ -110,24 +113,30 @@ def splitters(keys: DataFrame, parts: int, total: int, rows: int, near: float) -
     return np.maximum.accumulate(np.array(done, object)).tolist()
 
 
-def shard(docs: DataFrame, shards: int = 40, *, pieces: int = 4, tolerance: float = TOLERANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def shard(docs: DataFrame, shards: int = 40, *, pieces: int = 4, tolerance: float = TOLERANCE, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and document (all columns) of every row, read from the shards written to path."""
+    spark = docs.sparkSession
     data = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keys = stored(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(data).alias("h"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW)).alias("d"), (F.octet_length(data) + COST).cast("long").alias("size"), F.crc32(data.cast("binary")).alias("text_crc32")), "keys")
+    key = [F.xxhash64(data).alias("h"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW)).alias("d")]
+    keys = stored(docs.select(*key, (F.octet_length(data) + COST).cast("long").alias("size")), "keys")
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     parts = shards * pieces
     bounds = splitters(keys, parts, int(total), rows, max(1.0, tolerance * int(total) / shards)) if rows else []
     _, before = counts_below(keys, bounds) if bounds else ([], [])
     first = [0, *before]
-    starts = np.array([first[p] - first[p - p % pieces] for p in range(len(first))] or [0], np.int64)
+    starts = [first[p] - first[p - p % pieces] for p in range(len(first))]
 
-    def deal(batches):
-        for batch in batches:
-            h, d, _ = _columns(batch)
-            part = _place(h, d, bounds)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "d", "size", "text_crc32")), pa.array(part, pa.int64()), pa.array(starts[part], pa.int64())], names=["doc_id", "h", "d", "size", "text_crc32", "part", "start"])
+    @F.arrow_udf("long")
+    def part_of(h: pa.Array, d: pa.Array) -> pa.Array:
+        return pa.array(_place(h.to_numpy(), d.to_numpy(), bounds), pa.int64())
 
-    dealt = keys.mapInArrow(deal, f"doc_id {kind}, h long, d long, size long, text_crc32 long, part long, start long")
+    # only keys go to Python; documents stay in the JVM
+    dealt = docs.select(F.struct("*").alias("document"), *key).withColumn("part", part_of("h", "d"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("h", "d")).cast("long") - 1
-    return dealt.select("doc_id", "size", "text_crc32", F.floor(F.col("part") / pieces).cast("int").alias("shard"), (F.col("start") + place).alias("slot"))
+    start = F.element_at(F.array(*(F.lit(n).cast("long") for n in starts)), (F.col("part") + 1).cast("int"))
+    table = dealt.select("document", (start + place).alias("slot"), F.floor(F.col("part") / pieces).cast("int").alias("shard"))
+    path = path or scratch(spark, "shards")
+    table.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    written = spark.read.schema(table.schema).parquet(path)
+    data = F.coalesce(F.col("document")[text].cast("string"), F.lit(""))
+    return written.select(F.col("document")[doc_id].alias("doc_id"), (F.octet_length(data) + COST).cast("long").alias("size"), F.crc32(data.cast("binary")).alias("text_crc32"), "shard", "slot", "document")

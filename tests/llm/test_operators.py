@@ -246,6 +246,22 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty, 4).count() == 0
 
 
+def test_sharding_writes_whole_documents_in_order(spark, docs, rows, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    out = sharding.shard(docs, 4, pieces=2, path=path).collect()
+    assert sorted((tuple(r["document"]) for r in out), key=repr) == sorted(rows, key=repr)
+    assert all(r["text_crc32"] == zlib.crc32((r["document"]["text"] or "").encode()) for r in out)
+    files = [f for f in (tmp_path / "shards").rglob("*.parquet")]
+    slots = {}
+    for f in files:
+        k = [r["slot"] for r in spark.read.parquet(f"file://{f}").coalesce(1).collect()]
+        assert k == sorted(k)
+        slots.setdefault(f.parent.name, []).extend(k)
+    assert len(slots) > 1 and all(sorted(k) == list(range(len(k))) for k in slots.values()) and sum(map(len, slots.values())) == len(rows)
+    texts = [r["text_crc32"] for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
+    assert len([k for k, _ in itertools.groupby(texts)]) == len(set(texts))
+
+
 def test_sharding_balances_a_hot_text(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'the same text' else concat('text number ', id) end as text")
     out = sharding.shard(df, 8).groupBy("shard").sum("size").collect()
