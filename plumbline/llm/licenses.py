@@ -1,12 +1,15 @@
 """Licence scan: a trained paragraph classifier, then a comparison with the templates.
 
-Paragraphs are the lines of a text, and the sentences of a line where it holds several. Sparse features are hashed
+Paragraphs are the lines of a text and the runs of consecutive lines that hold words, joined, so that hard-wrapped notices
+are read whole; both are cut at sentences. Lines stand where they agree alone; a joined paragraph takes the place of its
+fragments where it shares more with a template than they do and loses that without them. Sparse features are hashed
 1- to 3-grams of lower-cased words, numbers reduced to one sign, weighted to unit length. A softmax over the licence
 families and one class for everything else is fitted on the driver by gradient steps: on variants of the templates (names,
 versions, wording around them, cut-outs) and, for the class of everything else, on a bounded sample of the corpus's own
 paragraphs that hold no licence word, beside scrambled templates. Its temperature is set on held-out variants, and the
 least probability for a family is the one that held-out paragraphs of the unknown class don't reach. A prediction counts
-only where the share of a template's n-grams in the paragraph, or of the paragraph's in the template, confirms it.
+only where the share of a template's n-grams in the paragraph, or of the paragraph's in the template, confirms it; for
+headings, which are short, it is the share of both together.
 
 Defined cases: null and empty texts have no paragraphs; long paragraphs are read whole; repeated documents give repeated
 rows; an empty table gives no rows; extra columns are ignored."""
@@ -35,12 +38,30 @@ TEMPLATES = {
     "CC-BY-SA": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0", "Text is available under the Creative Commons Attribution-ShareAlike License"],
     "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0", "Available under the CC BY-NC license"],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense", "SPDX-License-Identifier: Unlicense"],
 }
+#: Headings of licence files.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License (MIT)"],
+    "Apache-2.0": ["Apache License", "Apache License, Version 2.0"],
+    "GPL": ["GNU General Public License", "GNU General Public License, version 3"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1"],
+    "BSD": ["BSD License", "BSD 3-Clause License"],
+    "MPL": ["Mozilla Public License", "Mozilla Public License, version 2.0"],
+    "CC-BY": ["Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0 International"],
+    "CC0": ["CC0 1.0 Universal"],
+    "ISC": ["ISC License"],
+    "Unlicense": ["The Unlicense"],
+}
 FAMILIES = list(TEMPLATES)
 BITS = 16
 SAMPLE = 5_000
+HOLDS_WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]")
+#: A line that names the owner; it belongs to no licence's wording.
+OWNER = re.compile(rb"\W*copyright\s*(?:\(c\)|\xc2\xa9|[12][0-9]{3})", re.I)
 WORDS = re.compile(rb"[a-z]+|[0-9][0-9.]*|[^\x00-\x7f]+")
 CUT = re.compile(rb"(?<=[.!?])\s+(?=[A-Z])")
 HINT = re.compile(rb"licen[cs]e|redistribut|copyright|warrant|permission|public domain|free software|spdx|creative commons|\bcc[ -]?(?:by|0)", re.I)
@@ -73,13 +94,22 @@ class Model:
 
 
 _TEMPLATE_GRAMS = {f: [grams(words_of(t.encode())) for t in ts] for f, ts in TEMPLATES.items()}
+_HEADING_GRAMS = {f: [grams(words_of(t.encode())) for t in ts] for f, ts in HEADINGS.items()}
+
+
+def best(family: str, words: list[bytes]) -> tuple[float, int]:
+    """(agreement, shared n-grams) with the template or heading that agrees best."""
+    g = grams(words)
+    if not g:
+        return 0.0, 0
+    full = [(max(n / len(t), n / len(g) if 2 * len(g) >= len(t) else 0.0), n) for t in _TEMPLATE_GRAMS[family] for n in (len(g & t),)]
+    return max([*full, *((len(g & t) / len(g | t), len(g & t)) for t in _HEADING_GRAMS[family])], default=(0.0, 0))
 
 
 def agreement(family: str, words: list[bytes]) -> float:
     """The best share of a template's n-grams found in the paragraph, or of the paragraph's found in the template where that
-    is at least half as long as the template."""
-    g = grams(words)
-    return max((max(len(g & t) / len(t), len(g & t) / len(g) if 2 * len(g) >= len(t) else 0.0) for t in _TEMPLATE_GRAMS[family]), default=0.0) if g else 0.0
+    is at least half as long as the template; with a heading, of those in both among those in either."""
+    return best(family, words)[0]
 
 
 def variants(rng: np.random.Generator, each: int) -> tuple[list[list[bytes]], list[int]]:
@@ -102,6 +132,9 @@ def variants(rng: np.random.Generator, each: int) -> tuple[list[list[bytes]], li
                 ys.append(k)
             xs.append([base[i] for i in rng.permutation(len(base))][: max(2, len(base) // 2)])
             ys.append(len(FAMILIES))
+        for t in HEADINGS[FAMILIES[k]]:
+            xs += [words_of(t.encode())] * each
+            ys += [k] * each
     return xs, ys
 
 
@@ -150,29 +183,82 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def paragraphs(text: bytes):
-    """(start, end) bytes of the sentences of each line."""
-    at = 0
+def blocks(text: bytes):
+    """Runs of consecutive lines that hold words, each a list of (start, end) bytes; a line that names the owner stands alone."""
+    at, run = 0, []
     for line in text.split(b"\n"):
-        last = 0
-        for m in CUT.finditer(line):
-            yield at + last, at + m.start()
-            last = m.end()
-        yield at + last, at + len(line)
+        owner = OWNER.match(line)
+        if run and (owner or not HOLDS_WORD.search(line)):
+            yield run
+            run = []
+        if owner:
+            yield [(at, at + len(line))]
+        elif HOLDS_WORD.search(line):
+            run.append((at, at + len(line)))
         at += len(line) + 1
+    if run:
+        yield run
+
+
+def sentences(text: bytes, start: int, end: int):
+    """(start, end) bytes of the sentences between two places."""
+    last = start
+    for m in CUT.finditer(text, start, end):
+        yield last, m.start()
+        last = m.end()
+    yield last, end
+
+
+def paragraphs(lines: list[tuple[int, int]], text: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, end) of the sentences of each line, and of those sentences of the joined lines that aren't among them."""
+    single = [s for a, b in lines for s in sentences(text, a, b)]
+    known = set(single)
+    return single, [s for s in sentences(text, lines[0][0], lines[-1][1]) if s not in known] if len(lines) > 1 else []
+
+
+def judged(text: bytes, start: int, end: int, model: Model, agree: float) -> dict | None:
+    words = words_of(text[start:end])
+    if REQUIRED.isdisjoint(words):
+        return None
+    p = model.probabilities(words)
+    k = int(p[:-1].argmax())
+    if p[k] >= model.least and p[k] > p[-1]:
+        s, shared = best(FAMILIES[k], words)
+        if s >= agree:
+            return {"start": start, "end": end, "family": FAMILIES[k], "probability": float(p[k]), "agreement": s, "shared": shared}
+    return None
+
+
+def in_block(text: bytes, lines: list[tuple[int, int]], model: Model, agree: float) -> list[dict]:
+    single, joined = paragraphs(lines, text)
+    hits = [h for a, b in single if (h := judged(text, a, b, model, agree))]
+    for a, b in joined:
+        if not (whole := judged(text, a, b, model, agree)):
+            continue
+        inside = [h for h in hits if h["start"] < b and a < h["end"]]
+        at, rest = a, []
+        for h in inside:
+            rest += words_of(text[at : max(at, h["start"])])
+            at = max(at, h["end"])
+        rest += words_of(text[at : max(at, b)])
+        # statements of their own share little with its template; the lines beside them are read again below
+        alone, lost = sum(h["shared"] for h in inside), whole["shared"] - best(whole["family"], rest)[1]
+        if whole["shared"] > alone and 2 * lost > alone or not inside:
+            hits = sorted([h for h in hits if h not in inside] + [whole], key=lambda h: h["start"])
+    run, out = [], list(hits)
+    for a, b in [*lines, (-1, -1)] if hits else []:
+        if a >= 0 and not any(h["start"] < b and a < h["end"] for h in hits):
+            run.append((a, b))
+            continue
+        if len(run) > 1:
+            out += in_block(text, run, model, agree)
+        run = []
+    return out
 
 
 def found(text: bytes, model: Model, agree: float) -> list[dict]:
-    out = []
-    for a, b in paragraphs(text):
-        words = words_of(text[a:b])
-        if REQUIRED.isdisjoint(words):
-            continue
-        p = model.probabilities(words)
-        k = int(p[:-1].argmax())
-        if p[k] >= model.least and p[k] > p[-1] and (s := agreement(FAMILIES[k], words)) >= agree:
-            out.append({"start": a, "end": b, "family": FAMILIES[k], "probability": float(p[k]), "agreement": s})
-    return out
+    out = [h for lines in blocks(text) for h in in_block(text, lines, model, agree)]
+    return [{k: v for k, v in h.items() if k != "shared"} for h in sorted(out, key=lambda h: (h["start"], h["end"]))]
 
 
 def train(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE, **options) -> Model:
@@ -190,7 +276,7 @@ SPANS = "array<struct<start:long,end:long,family:string,probability:double,agree
 
 
 def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", agree: float = 0.5) -> DataFrame:
-    """doc_id, n_paragraphs, licences (byte spans with family, probability and agreement) for every document.
+    """doc_id, n_paragraphs (lines), licences (byte spans with family, probability and agreement) for every document.
 
     A paragraph without any n-gram of a template can't be confirmed; such paragraphs, found by one search for the
     templates' rarer words, skip the model, which changes no result."""
@@ -223,8 +309,8 @@ def _required(agree: float = 0.5) -> set[bytes]:
     of these words shares less than half of the needed n-grams with any template."""
     common = set(b"the of and in to a is this you it for by with or be on as at an any are that from can may not without use all see no under".split())
     chosen: set[bytes] = set()
-    for ts in TEMPLATES.values():
-        for t in ts:
+    for f, ts in TEMPLATES.items():
+        for t in ts + HEADINGS[f]:
             words = words_of(t.encode())
             pick = sorted(set(words) - common - {b"0"}, key=lambda w: (-len(w), w))
             for w in [x for x in pick if x in chosen] + [x for x in pick if x not in chosen]:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -317,6 +318,32 @@ def test_licences(spark, docs, rows, empty):
     assert [[x["family"] for x in r["licences"]] for r in licenses.scan(t, model).orderBy("doc_id").collect()] == [["Apache-2.0"], [], ["CC-BY-NC"]]
 
 
+MIT = ["MIT License", "Copyright (c) 2019 Some Author", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."]
+ISC = ["Copyright (c) 2019, Some Author", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."]
+GPL = ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."]
+LGPL = ["This library is licensed under the GNU Lesser General Public License, version 2.1."]
+
+
+def test_hard_wrapped_licences(spark, docs):
+    model = licenses.train(docs, epochs=40)
+    wrap = lambda p, width: "\n".join(textwrap.wrap(p, width))
+    cases = []
+    for family, notice in (("MIT", MIT), ("MIT", MIT[1:]), ("ISC", ISC), ("GPL", GPL), ("LGPL", LGPL)):
+        for width, gap, mark in itertools.product((40, 72, 79), ("\n\n", "\n"), ("", "# ")):
+            text = gap.join(wrap(p, width) for p in notice)
+            cases.append((family, "w1 w2 w3.\n\n" + "\n".join(mark + x for x in text.split("\n")) + "\n\nw4 w5 w6"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.scan(df, model).collect():
+        family, text = cases[r["doc_id"]]
+        assert {x["family"] for x in r["licences"]} == {family}, text
+        places = [(x["start"], x["end"]) for x in r["licences"]]
+        assert places == sorted(places) and all(a[1] <= b[0] for a, b in itertools.pairwise(places))
+        if family != "LGPL":
+            assert any("ermission" in text[a:b] or "free software" in text[a:b].replace("\n", " ").replace("# ", "") for a, b in places), text
+    t = spark.createDataFrame([(1, "The MIT License (MIT)"), (2, "wir fahren mit dem Auto\nohne license und weiter\nin die Stadt"), (3, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0")], "doc_id long, text string")
+    assert [[x["family"] for x in r["licences"]] for r in licenses.scan(t, model).orderBy("doc_id").collect()] == [["MIT"], [], ["MIT", "Apache-2.0"]]
+
+
 def test_encoder_is_the_tokenizer():
     import public_tokenizers
 
