@@ -15,7 +15,8 @@ SCORERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def fit(rows: DataFrame, *, kind: str = "nb", vocabulary: int = 50_000, weight: str | None = None) -> PipelineModel:
-    """rows(text, label): words and word pairs, counted, weighted by inverse document frequency."""
+    """rows(text, label): words and word pairs, counted, weighted by inverse document frequency; rows without a label don't count."""
+    rows = rows.where(F.col("label").isNotNull()).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}']+", gaps=False)
     pairs = NGram(n=2, inputCol="words", outputCol="pairs")
     both = SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__")
@@ -28,8 +29,8 @@ def fit(rows: DataFrame, *, kind: str = "nb", vocabulary: int = 50_000, weight:
 
 
 def score(rows: DataFrame, model: PipelineModel, key: str) -> DataFrame:
-    """(key, score of label 1, predicted), joined by key and never by position."""
-    out = model.transform(rows)
+    """(key, score of label 1, predicted) of every row, joined by key and never by position; a null text has no words."""
+    out = model.transform(rows.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return out.select(key, F.round(vector_to_array("probability")[1], 6).alias("score"), F.col("prediction").cast("int").alias("predicted"))
 
 

@@ -494,8 +494,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the labelled documents, over every document; scores of labelled ones are those of rows of the fit."""
     from plumbline.operators import models as ML
 
-    d = A.table(spark, sf_dir, "documents").join(A.table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
-    model = ML.fit(d.where("doc_id % 5 <> 0"))
-    return ML.score(d.where("doc_id % 5 = 0"), model, "doc_id")
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ML.fit(docs.join(A.table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("quality").cast("double").alias("label")))
+    return ML.score(docs, model, "doc_id")
