@@ -14,7 +14,8 @@ Two texts link when 100 * |intersection| >= 75 * |union| of their distinct 5-wor
    already joined by other links is skipped, since it can't change the components. Components of more than `block` texts are
    dealt as pairs of blocks, so no group of copies has to fit into one task.
 
-Hashes of shingles have 64 bits, fingerprints of sets 128. Defined cases: null and empty texts, and texts of white space
+Lists and points hold rows by a node, the 64-bit hash of doc_id and text, so rows that repeat a doc_id each keep their own text's set;
+verified links are mapped to doc_ids. Hashes of shingles have 64 bits, fingerprints of sets 128. Defined cases: null and empty texts, and texts of white space
 only, have no shingles and link with nothing; texts of fewer than five words are one shingle, as the contract says; rows
 with a null doc_id link with nothing; rows that repeat a doc_id are one node of the links; an empty table gives no rows;
 extra columns are ignored by `links` and kept by `one_of_each`."""
@@ -132,7 +133,8 @@ def in_chunks(batches):
 
 
 def described(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts of every row, the sketch's pieces)."""
+    """(facts of every row, the sketch's pieces). The id is a struct of doc_id and node."""
+    key = pa.struct([("id", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -143,15 +145,15 @@ def described(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             prints = np.stack([s[bounds[1:]] - s[bounds[:-1]] for s in sums], 1)
             v = vectors_of(h, bounds)
             k = len(size)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), ids, pa.array(size, pa.int64()), pa.array([blob(x) for x in prints], pa.binary()), pa.array([blob(x) for x in v], pa.binary())], names=["piece", "id", "n", "print", "data"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.StructArray.from_arrays([ids.field("id"), ids.field("node")], fields=list(key)), pa.array(size, pa.int64()), pa.array([blob(x) for x in prints], pa.binary()), pa.array([blob(x) for x in v], pa.binary())], names=["piece", "id", "n", "print", "data"])
         z = zstandard.ZstdCompressor(level=1)
         for k in range((1 << SKETCH_BITS) // SKETCH_PIECE):
             part = counts[k * SKETCH_PIECE : (k + 1) * SKETCH_PIECE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([z.compress(part.tobytes())], pa.binary())], names=["piece", "id", "n", "print", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([z.compress(part.tobytes())], pa.binary())], names=["piece", "id", "n", "print", "data"])
 
-    both = stored(rows.mapInArrow(lean(run), "piece int, id long, n long, print binary, data binary"), "shingles")
-    return both.where("piece is null").select("id", "n", "print", F.col("data").alias("v")), both.where("piece is not null").select("piece", "data")
+    both = stored(rows.mapInArrow(lean(run), "piece int, id struct<id:long,node:long>, n long, print binary, data binary"), "shingles")
+    return both.where("piece is null").select("id.id", "id.node", "n", "print", F.col("data").alias("v")), both.where("piece is not null").select("piece", "data")
 
 
 def summed(key, data):
@@ -232,7 +234,7 @@ def shared_prefixes(rows: DataFrame, level, parts: int) -> DataFrame:
 
 
 def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
-    points = facts.groupBy("id").agg(F.max(F.struct("n", "v")).alias("f")).select("id", "f.n", "f.v")
+    points = facts.groupBy(F.col("node").alias("id")).agg(F.max(F.struct("n", "v")).alias("f")).select("id", "f.n", "f.v")
 
     def join(batches):
         data = table_of(batches)
@@ -338,13 +340,18 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block:
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     total = text_bytes(rows, "text")
     parts = parts_for(total, 16 << 20, 8)
-    facts, sketch = described(rows)
+    node = F.xxhash64("id", "text").alias("node")
+    facts, sketch = described(rows.select(F.struct("id", node).alias("id"), "text"))
     known = facts.where("id is not null and n > 0")
     level = spark.sparkContext.broadcast(levels(sketch))
-    named = rows.where("id is not null")
+    named = rows.where("id is not null").select(node.alias("id"), "text")
     lists = shared_prefixes(named, level, parts)
     near = stored(candidate_edges(lists, known, parts), "candidates")
     found = verified_edges(named, components(near), parts, block)
+    names = known.select("node", "id").distinct()
+    for end in ("a", "b"):
+        found = found.join(names.select(F.col("node").alias(end), F.col("id").alias("doc")), end).drop(end).withColumnRenamed("doc", end)
+    found = found.select("a", "b").where("a <> b")
     # equal sets join without being compared
     first = known.groupBy("print", "n").agg(F.min("id").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
     equal = known.join(first, ["print", "n"]).where("id <> b").select(F.col("id").alias("a"), "b")

@@ -85,6 +85,16 @@ def test_jaccard(docs, rows, empty, block):
         assert jaccard.links(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_jaccard_links_each_text_of_a_repeated_doc_id(spark, block):
+    rng = np.random.default_rng(8)
+    short, long = words(rng, 120), words(rng, 400)
+    near = lambda t: t + " and some more"
+    data = [(1, "nothing like it at all in here"), (7, short), (7, long), (8, near(short)), (3, near(long)), (9, words(rng, 90))]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.links(spark.createDataFrame(data, "doc_id long, text string"), block=block).collect()}
+    assert got == {(1, 1), (7, 3), (8, 3), (3, 3), (9, 9)}
+
+
 def test_rtree_loses_no_pair():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 6, (300, jaccard.GROUPS)).astype(np.uint8)
