@@ -262,13 +262,25 @@ def found(text: bytes, model: Model, agree: float) -> list[dict]:
 
 
 def train(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE, **options) -> Model:
-    """Unknown paragraphs: one from each of at most `sample` documents, by the order of a hash of the text."""
+    """Unknown paragraphs: one from each of at most `sample` documents, by the order of a hash of the text; of the paragraphs
+    that `scan` judges in it the one whose place the hash draws, whole."""
     order = F.pmod(F.xxhash64(text), F.lit(1 << 30))
     # a cut that leaves about `sample` rows, so that no partition sends more than it must
     cut = int(min(1.0, sample / max(1, docs.count())) * (1 << 30))
     rows = docs.where(F.col(text).isNotNull() & (order < F.lit(cut))).select(F.col(text).alias("t"), order.alias("h"))
-    rows = rows.select("h", F.element_at(F.split("t", "\n"), 1).alias("p")).where(F.length("p") > 0).select("h", F.substring("p", 1, 400).alias("p"))
-    got = [r["p"].encode() for r in rows.orderBy("h", "p").limit(sample).collect()]
+
+    def draw(batches):
+        for batch in batches:
+            h, drawn = [], []
+            for k, t in zip(batch.column("h").to_pylist(), as_bytes(batch.column("t")), strict=True):
+                if spans := [s for lines in blocks(t) for part in paragraphs(lines, t) for s in part]:
+                    a, b = spans[zlib.crc32(t) % len(spans)]
+                    h.append(k)
+                    drawn.append(t[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(drawn, pa.binary())], names=["h", "p"])
+
+    drawn = rows.select(F.col("h").cast("long").alias("h"), F.col("t").cast("string").alias("t")).mapInArrow(draw, "h long, p binary")
+    got = [bytes(r["p"]) for r in drawn.orderBy("h", "p").limit(sample).collect()]
     return fit([g for g in got if not HINT.search(g)], **options)
 
 

@@ -354,6 +354,17 @@ def test_hard_wrapped_licences(spark, docs):
     assert [[x["family"] for x in r["licences"]] for r in licenses.scan(t, model).orderBy("doc_id").collect()] == [["MIT"], [], ["MIT", "Apache-2.0"]]
 
 
+def test_unknown_paragraphs_are_drawn_anywhere_and_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = [(i, "\n\n".join([f"first{i}", words(rng, 200), f"third {words(rng, 8)}", f"last {words(rng, 8)}"])) for i in range(60)]
+    data += [(100, None), (101, ""), (102, "\n \n")]
+    monkeypatch.setattr(licenses, "fit", lambda unknown, **_: unknown)
+    got = licenses.train(spark.createDataFrame(data, "doc_id long, text string"))
+    known = {p.encode() for _, t in data if t for p in t.split("\n\n")}
+    assert set(got) <= known and len(got) == 60
+    assert all(any(g.startswith(x) for g in got) for x in (b"first", b"third", b"last")) and any(len(g) > 400 for g in got)
+
+
 def test_encoder_is_the_tokenizer():
     import public_tokenizers
 
