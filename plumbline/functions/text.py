@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import unicodedata
 
@@ -54,34 +55,64 @@ def pool_of(canonical) -> Column:
 
 
 def text_key(salt: str, c) -> Column:
-    return F.substring(F.sha2(F.concat(F.lit(salt), c), 256), 1, 24)
+    """24 hex digits of the digest of salt, "|" and the text with white space collapsed."""
+    return F.substring(F.sha2(F.concat(F.lit(salt + "|"), F.trim(F.regexp_replace(c, r"(?U)\s+", " "))), 256), 1, 24)
+
+
+@F.pandas_udf(StringType())
+def group_key(s: pd.Series) -> pd.Series:
+    """Digest of the canonical text without diacritics: texts that an accent-free encoder can't tell apart share it."""
+
+    def plain(t: str) -> str:
+        t = " ".join(unicodedata.normalize("NFKC", t).split()).casefold()
+        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
+
+    return s.map(lambda t: None if t is None else hashlib.sha256(plain(t).encode()).hexdigest())
+
+
+def clean_post(c) -> Column:
+    """A post without links and @mentions, white space collapsed; hashtags and accents stay."""
+    without = F.regexp_replace(F.regexp_replace(c, r"https?://\S+|www\.\S+", " "), r"(?U)@\w+", " ")
+    return F.trim(F.regexp_replace(without, r"(?U)\s+", " "))
+
+
+def us_date(c) -> Column:
+    """Dates written month/day/year, with or without leading zeros; null where there is no such date."""
+    return F.to_date(F.try_to_timestamp(c, F.lit("M/d/yyyy")))
 
 
 def quote_in_text(text, quote) -> Column:
     return F.contains(review_key(text), review_key(quote))
 
 
-#: What guests leave in an empty field.
-NOTHING = ("", "no negative", "no positive")
-OPENER = r"(?i)^\s*nothing\b"
-BUT = r"(?i)\b(but|except|however)\b"
+#: What the form puts into an empty field, how a field that holds no complaint opens, and how it goes on all the same.
+NO_POSITIVE, NO_NEGATIVE = "No Positive", "No Negative"
+NO_COMPLAINT = r"(?i)^\W*(?:nothing|none|n\s?a\b|nil\b|no complaints?|not much|all (?:was )?(?:good|great|perfect|fine)|everything (?:was )?(?:perfect|great|fine|good|excellent|wonderful|amazing|fantastic))\b"
+CONTINUES = r"(?i)\b(?:but|except|however)\b"
+
+
+def stripped(c) -> Column:
+    """Without white space at either end; null is empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
 def has_complaint(c) -> Column:
-    """Something negative was written, and it isn't 'nothing ...' without a 'but'."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return ~F.lower(t).isin(*NOTHING) & (~F.rlike(t, F.lit(OPENER)) | F.rlike(t, F.lit(BUT)))
+    """Something was written that isn't the form's own text and doesn't open by saying that there was nothing, unless it goes on."""
+    t = stripped(c)
+    return (t != "") & (F.lower(t) != NO_NEGATIVE.lower()) & (~F.rlike(t, F.lit(NO_COMPLAINT)) | F.rlike(t, F.lit(CONTINUES)))
 
 
 def whole_review(negative, positive) -> Column:
-    part = lambda label, c: F.when(~F.lower(F.trim(c)).isin(*NOTHING), F.concat(F.lit(label), F.trim(c)))
+    empty = [NO_POSITIVE.lower(), NO_NEGATIVE.lower(), ""]
+    part = lambda label, c: F.when(~F.lower(stripped(c)).isin(*empty), F.concat(F.lit(label), stripped(c)))
     return F.concat_ws("\n\n", part("Disliked: ", negative), part("Liked: ", positive))
 
 
 def label_rule(positive, negative) -> Column:
-    """1 where only the positive field holds text, 0 where only the negative one does, else null."""
-    full = lambda c: ~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(*NOTHING)
-    return F.when(full(positive) & ~full(negative), 1).when(full(negative) & ~full(positive), 0)
+    """1 where the positive field holds text and the negative one is exactly the form's placeholder, 0 the other way round, else null:
+    an empty field opposite tells nothing."""
+    p, n = stripped(positive), stripped(negative)
+    return F.when((p != "") & (p != NO_POSITIVE) & (n == NO_NEGATIVE), 1).when((p == NO_POSITIVE) & (n != NO_NEGATIVE) & (n != ""), 0)
 
 
 #: The six cities, in their order of precedence.
@@ -105,10 +136,10 @@ def first_of(tags, wanted: tuple[str, ...]) -> Column:
 
 
 def script_of(c) -> Column:
-    """greek, latin or other by the majority of letters; ties in that order; null without letters."""
+    """greek, latin or other by the majority of letters; ties in that order; other without letters."""
     n = {k: F.regexp_count(c, F.lit(p)) for k, p in (("greek", r"\p{IsGreek}"), ("latin", r"\p{IsLatin}"), ("letters", r"\p{L}"))}
     other = n["letters"] - n["greek"] - n["latin"]
-    return F.when(n["letters"] == 0, None).when((n["greek"] >= n["latin"]) & (n["greek"] >= other), "greek").when(n["latin"] >= other, "latin").otherwise("other")
+    return F.when(n["letters"] == 0, "other").when((n["greek"] >= n["latin"]) & (n["greek"] >= other), "greek").when(n["latin"] >= other, "latin").otherwise("other")
 
 
 def looks_english(c, common: str = r"(?i)\b(?:the|and|was|were|is|are|we|our|it|to|of|in|for|with|but|not|very|room|hotel|staff)\b") -> Column:
