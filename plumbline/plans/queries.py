@@ -234,13 +234,13 @@ COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 @query(f"SELECT doc_id, md5({COLLAPSED}) AS digest, length({COLLAPSED}) AS n FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = A.table(spark, sf_dir, "documents").withColumn("t", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    d = A.table(spark, sf_dir, "documents").withColumn("t", X.clean_text(F.col("text")))
     return d.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
 
 @query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '</?\\s*\\w+\\s*/?>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
 def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "pages").select("page_id", F.md5(F.trim(F.regexp_replace(F.regexp_replace("html", r"</?\s*\w+\s*/?>", " "), r"\s+", " "))).alias("digest"))
+    return A.table(spark, sf_dir, "pages").select("page_id", F.md5(X.clean_text(F.col("html"))).alias("digest"))
 
 
 @query(f"SELECT doc_id, sha256({COLLAPSED}) AS text_sha256 FROM documents")
@@ -269,13 +269,14 @@ def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.drop_conflicts(d, "k", "toxic").select("doc_id")
 
 
-RULE = "SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN text ELSE 'No Positive' END AS p, CASE WHEN n_chars % 4 = 0 THEN text ELSE 'No Negative' END AS n FROM documents"
+RULE = "SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN text WHEN n_chars % 5 = 0 THEN '' ELSE 'No Positive' END AS p, CASE WHEN n_chars % 4 = 0 THEN text WHEN n_chars % 7 = 0 THEN '' ELSE 'No Negative' END AS n FROM documents"
 
 
-@query(f"WITH r AS ({RULE}) SELECT doc_id, CASE WHEN p <> 'No Positive' THEN 1 ELSE 0 END AS label FROM r WHERE (p <> 'No Positive') <> (n <> 'No Negative')")
+@query(f"WITH r AS ({RULE}), t AS (SELECT doc_id, trim(p) AS p, trim(n) AS n FROM r) SELECT doc_id, CASE WHEN n = 'No Negative' THEN 1 ELSE 0 END AS label FROM t WHERE (p NOT IN ('', 'No Positive') AND n = 'No Negative') OR (p = 'No Positive' AND n NOT IN ('', 'No Negative'))")
 def label_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.table(spark, sf_dir, "documents")
-    p, n = F.when(F.col("n_chars") % 3 == 0, F.col("text")).otherwise("No Positive"), F.when(F.col("n_chars") % 4 == 0, F.col("text")).otherwise("No Negative")
+    p = F.when(F.col("n_chars") % 3 == 0, F.col("text")).when(F.col("n_chars") % 5 == 0, "").otherwise("No Positive")
+    n = F.when(F.col("n_chars") % 4 == 0, F.col("text")).when(F.col("n_chars") % 7 == 0, "").otherwise("No Negative")
     return d.select("doc_id", X.label_rule(p, n).alias("label")).where("label is not null")
 
 
