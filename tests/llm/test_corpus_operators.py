@@ -7,11 +7,11 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from plumbline.llm import decontam, embeddings, jaccard, licenses, packing, quality, repeats, sharding, warc, wavelet
+from plumbline.llm import decontam, embeddings, induced, jaccard, licenses, packing, quality, repeats, sharding, spill, warc, wavelet
 from plumbline.llm.common import encoder
-from plumbline.llm.induced import suffix_blocks
 from plumbline.llm.shingles import shingle_sets
 from plumbline.llm.windows import LENGTH, runs
 
@@ -109,21 +109,57 @@ def test_rtree_loses_no_pair():
             assert (i // jaccard.LEAF, j // jaccard.LEAF) in leaves
 
 
-def test_suffix_blocks():
+def common(a, b):
+    return next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("memory, block", [(1 << 28, 1 << 17), (1 << 28, 7), (4000, 7), (64, 5)])
+def test_suffix_blocks(monkeypatch, memory, block):
+    monkeypatch.setattr(induced, "BLOCK", block)
+    monkeypatch.setattr(spill, "BLOCK", block)
     rng = np.random.default_rng(2)
-    for trial in range(60):
-        t = rng.integers(0, 4, int(rng.integers(1, 90))).astype(np.uint16)
+    for trial in range(6 if memory == 64 else 30):
+        t = rng.integers(0, 4, int(rng.integers(1, 90))).astype(np.uint8)
         if trial % 3 == 0:
             t = np.tile(t[: max(1, len(t) // 4)], 4)
-        cap, by = int(rng.integers(2, 12)), {}
-        for p, x in suffix_blocks(t, cap, memory=[1 << 28, 64][trial % 2]):
-            by.setdefault(int(t[p[0]]), []).append((p, x))
-        places = np.concatenate([p for c in sorted(by) for p, _ in by[c]])
-        lcps = np.concatenate([x for c in sorted(by) for _, x in by[c]])
+        cap, disk = int(rng.integers(2, 12)), spill.Disk(memory)
+        got = list(induced.suffix_blocks(t, cap, disk=disk))
+        places, lcps = (np.concatenate(x) for x in zip(*got, strict=True))
         s = [t[i : i + cap].tolist() for i in places]
-        assert sorted(places.tolist()) == list(range(len(t))) and s == sorted(s)
-        same = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-        assert lcps.tolist() == [0, *(same(a, b) for a, b in itertools.pairwise(s))]
+        assert sorted(places.tolist()) == list(range(len(t))) and s == sorted(s, reverse=True)
+        assert lcps.tolist() == [0, *(common(a, b) for a, b in itertools.pairwise(s))]
+        assert memory > 64 or len(t) < 40 or disk.spilled
+
+
+def test_a_shard_far_larger_than_its_memory_is_sorted_on_disk(monkeypatch):
+    """Text of 400 times the bound: names are sorted in spilled runs, recursion is entered, queues lie on disk."""
+    levels, inner = [], induced.suffix_blocks
+    monkeypatch.setattr(induced, "suffix_blocks", lambda x, *a, **k: levels.append(len(x)) or inner(x, *a, **k))
+    rng = np.random.default_rng(6)
+    part = rng.integers(97, 101, 50_000)
+    t = np.concatenate([part, rng.integers(97, 123, 60_000), part[1000:], [0]]).astype(np.uint8)
+    disk = spill.Disk(len(t) // 400)
+    got = [(p.copy(), l.copy()) for p, l in induced.suffix_blocks(t, 50, disk=disk)]
+    assert disk.spilled > 10 * len(t) and len(levels) > 1 and levels[1] < len(t)
+    places, lcps = (np.concatenate(x) for x in zip(*got, strict=True))
+    assert (np.sort(places) == np.arange(len(t))).all()
+    raw = t.tobytes()
+    s = [raw[i : i + 50] for i in places.tolist()]
+    assert all(a >= b for a, b in itertools.pairwise(s))
+    same = np.array([a == b for a, b in itertools.pairwise(s)])
+    assert ((lcps[1:] == 50) == (same & (places[1:] + 50 <= len(t)) & (places[:-1] + 50 <= len(t)))).all()
+
+
+def test_sorter_merges_spilled_runs(monkeypatch):
+    monkeypatch.setattr(spill, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    disk = spill.Disk(4000)
+    rows = spill.Sorter(disk)
+    a, b = rng.integers(0, 9, 3000), rng.integers(0, 40, 3000).astype(np.uint64)
+    for k in range(0, 3000, 50):
+        rows.add(a[k : k + 50], b[k : k + 50], np.arange(k, k + 50))
+    got = np.concatenate([np.stack(x) for x in rows.blocks()], 1)
+    assert disk.spilled and list(map(tuple, got.T.tolist())) == sorted(zip(a.tolist(), b.tolist(), range(3000), strict=True), key=lambda r: r[:2])
 
 
 def test_windows_cover_all_and_agree():
@@ -138,7 +174,7 @@ def test_windows_cover_all_and_agree():
             assert at.setdefault(data[p : p + LENGTH].tobytes(), x) == x
 
 
-def test_repeats(docs, rows, empty):
+def test_repeats(docs, rows, empty, monkeypatch):
     least = {}
     for i, t, *_ in rows:
         b = (t or "").encode()
@@ -158,6 +194,30 @@ def test_repeats(docs, rows, empty):
     assert sorted(map(tuple, repeats.removed(docs).collect()), key=key) == sorted(want, key=key)
     cut = {(r["doc_id"], r["id"]): r["text"] for r in repeats.without_repeats(docs).collect() if r["doc_id"] == 1}
     assert cut == {(1, 4): ""} and repeats.removed(empty).count() == 0
+    # with a few KB of memory every shard is sorted on disk
+    monkeypatch.setattr(repeats, "TOGETHER", 1)
+    monkeypatch.setattr(repeats, "SHARDS", 3)
+    rows_, total = repeats._rows(docs, "doc_id", "text")
+    spans = lambda memory: sorted((r["slot"], *x) for r in repeats.spans_of(rows_, total, memory).collect() for x in decoded(r["data"]))
+    assert spans(20_000) == spans(192 << 20) != []
+
+
+def decoded(data):
+    found = repeats.joined(pa.table({"data": pa.array([data], pa.binary())}))
+    return [(k, *s) for k, v in found.items() for s in v]
+
+
+def test_without_repeats_keeps_columns_of_any_name(spark, empty):
+    rng = np.random.default_rng(1)
+    passage = words(rng, 30)
+    data = [(1, "A " + passage, 9, "x", None, 1), (2, None, 9, "y", None, 2), (3, "B " + passage + " end", 5, None, 1.5, 3), (None, passage, 0, "z", 2.5, 4), (4, "", None, "w", 0.5, 5), (3, "B " + passage + " end", 5, None, 1.5, 3)]
+    df = spark.createDataFrame(data, "doc_id int, text string, n_chars int, __key string, __id double, __slot int")
+    got = sorted(map(tuple, repeats.without_repeats(df).collect()), key=lambda r: r[5])
+    rest = "B  end"
+    assert got == [data[0], data[1], (3, "B end", 5, None, 1.5, 3), (3, "B end", 5, None, 1.5, 3), (None, "", 0, "z", 2.5, 4), data[4]] or got[2][1] == rest
+    assert [r[2] for r in got] == [9, 9, len(got[2][1]), len(got[2][1]), 0, None]
+    assert repeats.without_repeats(df).schema == df.schema and repeats.without_repeats(empty).columns == empty.columns and repeats.without_repeats(empty).count() == 0
+    assert repeats.without_repeats(df.drop("n_chars")).count() == 6
 
 
 def test_contamination(spark, docs, rows, empty):
@@ -224,10 +284,25 @@ def test_wavelet(docs, rows, empty):
     assert [r["start"] for r in order] == np.r_[0, np.cumsum([r["n_tokens"] for r in order])[:-1]].tolist()
     known = [r["doc_id"] for r in order if r["doc_id"] is not None]
     assert known == sorted(known) and wavelet.round_trip(empty, path).count() == 0
-    t = np.random.default_rng(0).integers(0, 200, 500).astype(np.uint16)
-    m = wavelet.read_shard(b"".join(wavelet.write_shard(t, np.array([0]), np.array([1]), 16)))[0]
-    assert (m.access(np.arange(500)) == t).all() and (m.tokens() == t).all()
-    assert m.occurrences(int(t[3])) == np.flatnonzero(t == t[3]).tolist() and m.rank(int(t[3]), 250) == (t[:250] == t[3]).sum() and m.count(60000) == 0
+    with pytest.raises(ValueError, match="more than 8 bits"):
+        wavelet.write_shard(np.array([300]), np.array([0]), np.array([1]), 8)
+
+
+@pytest.mark.parametrize("block", [8, 64, 1 << 16])
+def test_wavelet_shard_answers_from_the_blocks_it_touches(block):
+    t = np.random.default_rng(0).integers(0, 200, 5000).astype(np.uint16)
+    data, read = b"".join(wavelet.write_shard(t, np.array([0, 7]), np.array([1, 5]), 16, block)), []
+    m, starts, names = wavelet.open_shard(lambda at, size: read.append(size) or data[at : at + size])
+    opened = len(read)
+    assert starts.tolist() == [0, 7] and names.tolist() == [1, 5] and opened == 4
+    assert int(m.access(4321)[0]) == t[4321] and len(read) - opened <= 16
+    for token in (int(t[3]), 0, 199, 60000):
+        where = np.flatnonzero(t == token)
+        assert m.count(token) == len(where) and m.occurrences(token).tolist() == where.tolist()
+        assert m.ranks(token, [0, 250, 4999, 5000]).tolist() == [(t[:k] == token).sum() for k in (0, 250, 4999, 5000)]
+    assert (m.access(np.arange(5000)) == t).all() and (m.tokens() == t).all() and m.select(int(t[3]), 0) == np.flatnonzero(t == t[3])[0]
+    with pytest.raises(IndexError):
+        m.select(60000, 0)
 
 
 def test_warc(spark):
