@@ -27,6 +27,11 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def review_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews' dates alone: every order has a customer, so no join is needed for them."""
+    return table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("review_date"))
+
+
 def flagged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reviews with has_complaint_text."""
     some = complaints(spark, sf_dir).select("review_id").distinct().withColumn("has", F.lit(True))

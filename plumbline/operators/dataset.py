@@ -57,15 +57,21 @@ def time_split(rows: DataFrame, day: str, *, train: float, dev: float) -> DataFr
     return rows.crossJoin(F.broadcast(c)).withColumn("split", F.when(F.col(day) < F.col("c1"), "train").when(F.col(day) < F.col("c2"), "dev").otherwise("test")).drop("c1", "c2")
 
 
-def group_split(rows: DataFrame, group: str, *, test: float, dev: float, seed: str = "0") -> DataFrame:
-    """rows with split; whole groups, in the order of a hash, fill test until it has its share, then dev, then train."""
-    g = rows.groupBy(group).agg(F.count("*").alias("n"))
-    w = Window.orderBy(hash_order(seed, group), group)
-    g = g.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    g = g.withColumn("in_test", F.col("before") < F.col("total") * test)
-    size = F.sum(F.when(F.col("in_test"), F.col("n")).otherwise(0)).over(Window.partitionBy())
-    g = g.withColumn("split", F.when(F.col("in_test"), "test").when(F.col("before") - size < F.col("total") * dev, "dev").otherwise("train"))
-    return rows.join(g.select(group, "split"), group)
+def group_split(rows: DataFrame, group: str, *, test: float, dev: float, seed: str = "0", buckets: int = 256) -> DataFrame:
+    """rows with split; whole groups, in the order of a hash, fill test until it has its share, then dev, then train. Running sums are
+    taken within hash ranges and added to the counts of the ranges before, so no task orders all groups."""
+    order = hash_order(seed, group)
+    g = rows.groupBy(group).agg(F.count("*").alias("n")).withColumn("o", order)
+    g = g.withColumn("b", F.floor(F.conv(F.substring("o", 1, 4), 16, 10).cast("int") / (65536 // buckets)).cast("int"))
+    per = g.groupBy("b").agg(F.sum("n").alias("m"))
+    all_ = Window.orderBy("b")  # over `buckets` rows
+    per = per.select("b", (F.sum("m").over(all_) - F.col("m")).alias("base"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    inner = F.sum("n").over(Window.partitionBy("b").orderBy("o", group)) - F.col("n")
+    g = g.join(F.broadcast(per), "b").withColumn("before", F.col("base") + inner)
+    size = g.agg(F.coalesce(F.sum(F.when(F.col("before") < F.col("total") * test, F.col("n"))), F.lit(0)).alias("in_test"))
+    g = g.crossJoin(F.broadcast(size))
+    split = F.when(F.col("before") < F.col("total") * test, "test").when(F.col("before") - F.col("in_test") < F.col("total") * dev, "dev").otherwise("train")
+    return rows.join(g.select(group, split.alias("split")), group)
 
 
 def cap_per_class(rows: DataFrame, key: str, label: str, most: int, seed: str = "0") -> DataFrame:

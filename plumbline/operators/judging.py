@@ -14,15 +14,6 @@ from plumbline.operators import metrics as M
 SIDES = {"all": ("negative", "positive"), "complaints": ("negative",), "praise": ("positive",)}
 
 
-def units(mentions: DataFrame) -> DataFrame:
-    """(review_id, topic, sentiment, quotes, flags, sure): what is reported of a review, once for each topic and sentiment; sure unless
-    every mention is marked check. mentions: review_id, position, topic, sentiment, quote, flags."""
-    sure = F.bool_or(~F.array_contains("flags", "check"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("position", "quote"))), lambda x: x["quote"])
-    flags = F.array_except(F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))), F.array(F.lit("check")))
-    return mentions.groupBy("review_id", "topic", "sentiment").agg(F.array_distinct(in_order).alias("quotes"), flags.alias("flags"), sure.alias("sure"))
-
-
 def topic_scores(reported: DataFrame, labelled: DataFrame) -> DataFrame:
     """(level, side, right, reported, labelled) over topics and over their categories (what stands before the dot); both: review_id,
     topic, sentiment."""

@@ -58,7 +58,7 @@ hr AS (SELECT t.topic, ht.hotel_id, ht.period, ht.reviews, coalesce(hc.n, 0) AS
 
 @query(f"WITH {VIEWS} SELECT first_month, last_month, base_start, base_end, recent_start, recent_end FROM w")
 def analysis_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = T.windows_of(A.reviews(spark, sf_dir))
+    w = T.windows_of(A.review_dates(spark, sf_dir))
     names = ("first_month", "last_month", "base_start", "base_end", "recent_start", "recent_end")
     return spark.range(1).select(*(F.lit(getattr(w, n)).alias(n) for n in names))
 
@@ -69,7 +69,7 @@ g AS (SELECT mr.month, t.topic, mr.reviews, coalesce(n, 0) AS complaining_review
 SELECT month, topic, reviews, complaining_reviews, round(complaining_reviews / CAST(reviews AS DOUBLE), 6) AS rate, round(avg(complaining_reviews / CAST(reviews AS DOUBLE)) OVER (PARTITION BY topic ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS rate_3m FROM g""")
 def monthly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = A.reviews(spark, sf_dir)
-    return rounded(T.monthly_rates(r, A.complaints(spark, sf_dir), T.windows_of(r)))
+    return rounded(T.monthly_rates(r, A.complaints(spark, sf_dir), T.windows_of(A.review_dates(spark, sf_dir))))
 
 
 @query(f"""WITH {VIEWS}, t AS (SELECT count(*) FILTER (WHERE period = 'base') AS base_reviews, count(*) FILTER (WHERE period = 'recent') AS recent_reviews, count(*) FILTER (WHERE period = 'base' AND has) AS bc, count(*) FILTER (WHERE period = 'recent' AND has) AS rc FROM rq),
@@ -78,7 +78,7 @@ SELECT topic, base_complaining, base_reviews, recent_complaining, recent_reviews
 round(recent_complaining / CAST(recent_reviews AS DOUBLE) - base_complaining / CAST(base_reviews AS DOUBLE), 6) AS change, round(base_complaining / CAST(bc AS DOUBLE), 6) AS base_share_of_complaints, round(recent_complaining / CAST(rc AS DOUBLE), 6) AS recent_share_of_complaints FROM c, t""")
 def year_over_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = A.flagged_reviews(spark, sf_dir)
-    return rounded(T.year_over_year(r, A.complaints(spark, sf_dir), T.windows_of(A.reviews(spark, sf_dir))))
+    return rounded(T.year_over_year(r, A.complaints(spark, sf_dir), T.windows_of(A.review_dates(spark, sf_dir))))
 
 
 def _counts(spark: SparkSession, sf_dir: str, least: int = 30) -> DataFrame:
@@ -103,10 +103,13 @@ def within_unit_change(spark: SparkSession, sf_dir: str, least: int = 30) -> Dat
 
 @query()
 def cluster_bootstrap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals at 95 %, flags at the level that holds for all topics together."""
     counts = _counts(spark, sf_dir)
-    rows = T.within_hotel_intervals(counts, levels=(0.95,))
-    out = [(r["topic"], r["hotels"], r["within_hotel_change"], r["relative_change"], *r["ci95"], T.flag(*r["ci95"], r["relative_change"])) for r in rows]
-    return rounded(spark.createDataFrame(out, "topic string, hotels long, within_hotel_change double, relative_change double, low double, high double, flag string"))
+    strict = T.strict_level(counts.select("topic").distinct().count() or 1)
+    i = T.change_intervals(counts, [0.95, strict])
+    usual, sure = i.where("level = 0.95"), i.where(F.col("level") == strict).select("topic", F.col("low").alias("l"), F.col("high").alias("h"))
+    relative = F.try_divide(F.col("change"), F.col("base_rate"))
+    return rounded(usual.join(sure, "topic").select("topic", F.col("hotels").cast("long").alias("hotels"), F.col("change").alias("within_hotel_change"), relative.alias("relative_change"), "low", "high", T.flag(F.col("l"), F.col("h"), relative).alias("flag")))
 
 
 @query(f"""WITH {VIEWS}, top AS (SELECT nationality FROM rq GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3),
@@ -116,12 +119,12 @@ SELECT dimension, segment, round(max(share) FILTER (WHERE period = 'base'), 6) A
 round(coalesce(max(share) FILTER (WHERE period = 'recent'), 0) - coalesce(max(share) FILTER (WHERE period = 'base'), 0), 6) AS change FROM sh GROUP BY 1, 2""")
 def segment_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = A.reviews(spark, sf_dir)
-    return rounded(T.segment_mix(r, T.windows_of(r), {"trip_type": None, "traveller_type": None, "nationality": 3}))
+    return rounded(T.segment_mix(r, T.windows_of(A.review_dates(spark, sf_dir)), {"trip_type": None, "traveller_type": None, "nationality": 3}))
 
 
 @query(f"WITH {VIEWS} SELECT month, count(*) AS reviews, round(avg(CAST(has AS INTEGER)), 6) AS complaint_text_share FROM fr, w WHERE month BETWEEN first_month AND last_month GROUP BY 1")
 def complaint_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.complaint_share(A.flagged_reviews(spark, sf_dir), T.windows_of(A.reviews(spark, sf_dir))))
+    return rounded(T.complaint_share(A.flagged_reviews(spark, sf_dir), T.windows_of(A.review_dates(spark, sf_dir))))
 
 
 @query(f"""WITH {VIEWS}, i AS (SELECT * FROM fr, w WHERE month BETWEEN first_month AND last_month)
@@ -131,7 +134,7 @@ UNION ALL SELECT '{T.CHECKS[2]}', count(*) FROM cp JOIN fr USING (review_id) WHE
 UNION ALL SELECT '{T.CHECKS[3]}', CAST((SELECT count(*) FROM i) - (SELECT sum(n) FROM (SELECT count(*) AS n FROM i GROUP BY month)) AS BIGINT)
 UNION ALL SELECT '{T.CHECKS[4]}', count(DISTINCT month) FROM rv, w WHERE month BETWEEN base_start AND base_end AND month BETWEEN recent_start AND recent_end""")
 def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.checks(A.flagged_reviews(spark, sf_dir), A.complaints(spark, sf_dir), T.windows_of(A.reviews(spark, sf_dir)))
+    return T.checks(A.flagged_reviews(spark, sf_dir), A.complaints(spark, sf_dir), T.windows_of(A.review_dates(spark, sf_dir)))
 
 
 @query(f"WITH {VIEWS}, p(period, a, z) AS (VALUES ('late', '2000-01', '2001-07'), ('all', '1995-01', '2001-08')) SELECT p.period, count(*) AS reviews FROM rv JOIN p ON month BETWEEN a AND z GROUP BY 1")
@@ -209,9 +212,9 @@ def outbox_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.due(o, datetime(2024, 1, 10), 100).select("id")
 
 
-@query("SELECT a AS attempts, CASE WHEN a < 5 THEN CAST(30 * pow(2, a - 1) AS BIGINT) END AS seconds FROM range(1, 8) AS t(a)")
+@query("SELECT event_id, CASE WHEN event_id % 8 < 4 THEN CAST(30 * pow(2, event_id % 8) AS BIGINT) END AS seconds FROM events")
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 8).select(F.col("id").alias("attempts"), ST.backoff_seconds(F.col("id")).alias("seconds"))
+    return A.table(spark, sf_dir, "events").select("event_id", ST.backoff_seconds(F.col("event_id") % 8 + 1).alias("seconds"))
 
 
 @query("""SELECT o_orderkey AS ticket_id, c_nationkey AS hotel_id, o_orderpriority AS department, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate, o_orderkey) AS place
@@ -439,50 +442,67 @@ def json_entry_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXTS = ["The shower was really cold and the towels were damp.", "We saw some ants in the dirty bathroom", "Staff ignored our repeated requests", "The heater was not broken", "Lovely stay, the ac is too noisy", "The toilet was blocked. They fixed it."]
 
 
-@query("WITH t(id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS)) + f"), g AS (SELECT id, text, NOT regexp_matches(text, '(?i){R.GUARD.replace(chr(39), chr(39) * 2)}') AS open FROM t) SELECT id, " + ", ".join("CASE WHEN open AND (" + " OR ".join(f"regexp_matches(text, '(?i){p}')" for t, _, p in R.RULES if t == topic) + f") THEN 'yes' ELSE 'unsure' END AS {topic}" for topic in R.TOPICS) + " FROM g")
+@query("WITH t AS (SELECT event_id AS id, [" + ", ".join(f"'{t}'" for t in TEXTS) + f"][1 + event_id % 6] || ' ' || props AS text FROM events), g AS (SELECT id, text, NOT regexp_matches(text, '(?i){R.GUARD.replace(chr(39), chr(39) * 2)}') AS open FROM t) SELECT id, " + ", ".join("CASE WHEN open AND (" + " OR ".join(f"regexp_matches(text, '(?i){p}')" for t, _, p in R.RULES if t == topic) + f") THEN 'yes' ELSE 'unsure' END AS {topic}" for topic in R.TOPICS) + " FROM g")
 def small_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    said = F.element_at(F.array(*map(F.lit, TEXTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    t = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat_ws(" ", said, "props").alias("text"))
     return R.lexicon_v1(t).select("id", *R.TOPICS)
 
 
-CASES = [("negative", 0.9, "ok", "no", 0.1), ("positive", 0.9, "ok", "no", 0.2), ("positive", 0.9, "ok", "no", 0.5), ("positive", 0.7, "ok", "yes", 0.49), ("positive", 0.9, "ok", "yes", 0.5), ("positive", 0.9, "error", None, None), ("positive", 0.9, "ok", "unsure", None), ("positive", 0.9, "disabled", None, None)]
-
-
-@query("WITH c(id, label, conf, status, answer, p) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in (i, *c)) + ")" for i, c in enumerate(CASES)) + """), d AS (SELECT *, status = 'ok' AND coalesce(answer = 'unsure' OR (answer = 'no' AND p >= 0.2 AND p < 0.5) OR (answer = 'yes' AND p < 0.5), false) AS doubt FROM c)
+@query("""WITH c AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'negative' ELSE 'positive' END AS label, least(value / 40, 1) AS conf, ['error', 'disabled', 'ok', 'ok', 'ok'][1 + event_id % 5] AS status, ['yes', 'no', 'unsure', 'no'][1 + event_id % 4] AS answer, (event_id % 100) / 100.0 AS p FROM events),
+d AS (SELECT *, status = 'ok' AND coalesce(answer = 'unsure' OR (answer = 'no' AND p >= 0.2 AND p < 0.5) OR (answer = 'yes' AND p < 0.5), false) AS doubt FROM c)
 SELECT id, concat_ws(',', CASE WHEN label LIKE 'neg%' THEN 'negative_sentiment' END, CASE WHEN conf < 0.8 THEN 'uncertain_sentiment' END, CASE WHEN status = 'ok' AND answer = 'yes' THEN 'complaint_detected' END, CASE WHEN doubt THEN 'uncertain_complaint' END) AS reasons,
 concat_ws(',', CASE WHEN conf < 0.8 THEN 'uncertain_sentiment' END, CASE WHEN doubt THEN 'uncertain_complaint' END, CASE WHEN status = 'error' THEN 'complaint_check_failed' END) AS review_reasons FROM d""")
 def routing_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, a, b, c, [("bathroom", d, e)] if d else []) for i, (a, b, c, d, e) in enumerate(CASES)]
-    r = R.routing(spark.createDataFrame(rows, "id int, label string, confidence double, status string, answers array<struct<topic:string,answer:string,probability:double>>"))
-    return r.select("id", F.array_join("reasons", ",").alias("reasons"), F.array_join("review_reasons", ",").alias("review_reasons"))
+    i = F.col("event_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (i % n + 1).cast("int"))
+    answer = F.struct(F.lit("bathroom").alias("topic"), pick(["yes", "no", "unsure", "no"], 4).alias("answer"), (i % 100 / 100.0).alias("probability"))
+    e = A.table(spark, sf_dir, "events").select(i.alias("id"), F.when(i % 3 == 0, "negative").otherwise("positive").alias("label"), F.least(F.col("value") / 40, F.lit(1.0)).alias("confidence"), pick(["error", "disabled", "ok", "ok", "ok"], 5).alias("status"), F.array(answer).alias("answers"))
+    return R.routing(e).select("id", F.array_join("reasons", ",").alias("reasons"), F.array_join("review_reasons", ",").alias("review_reasons"))
+
 
+REVIEWS = ["The room was spotless and the staff were kind. Breakfast was cold but the coffee was good.", "No hot water in the shower; the bed was too small. We told the staff. Nobody came.", "Noisy street. Horrible.", "Great location, near the metro, although the lift was broken…"]
 
-REVIEWS = ["The room was spotless and the staff were kind. Breakfast was cold but the coffee was good.", "No hot water in the shower; the bed was too small.", "Noisy street. Horrible.", "Great location, near the metro, although the lift was broken…"]
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): every document whole, after a review's sentences."""
+    said = F.element_at(F.array(*map(F.lit, REVIEWS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", said, "text").alias("text"))
 
 
 @query()
 def clause_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.operators import lexicon as L
 
-    t = spark.createDataFrame(list(enumerate(REVIEWS)), "id int, text string")
-    return L.mentions(t).select("id", F.explode("mentions").alias("m")).select("id", "m.position", "m.topic", "m.clause")
+    return L.mentions(_reviews(spark, sf_dir)).select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.position", "m.topic", "m.clause")
 
 
 @query()
 def complaint_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over whole documents, whose invented words a common-word lexicon reads as topics."""
+    """The whole documents with the built-in lexicon."""
+    from plumbline.operators import lexicon as L
+
+    return L.tag_complaints(A.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _stub_scorer():
+    """A scorer without a model: cold, small, noisy and broken things are complaints."""
+    return lambda pairs: [("negative" if any(w in c.lower() for w in ("cold", "small", "noisy", "broken")) else "positive", 0.9) for c, _ in pairs]
+
+
+@query()
+def review_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.operators import lexicon as L
 
-    words = L.Lexicon({"staff.people": r"the\s+\w+", "room.general": r"\w+tion", "food.dining": r"de\s+la"}, {"room.size": r"und"})
-    return L.tag_complaints(A.table(spark, sf_dir, "documents"), "doc_id", "text", words)
+    found = L.group_mentions(L.analysed(_reviews(spark, sf_dir), "doc_id", "text", _stub_scorer))
+    return found.select("review_id", "topic", "sentiment", F.array_join("quotes", "|").alias("quotes"), F.array_join("flags", ",").alias("flags"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.streaming import events as E
 
-    name = f"daily_{abs(hash(sf_dir)) % 10**8}"
-    out = E.collected(E.windowed(E.source(spark, sf_dir, "events"), "ts", ["event_type"], "1 day", value="value"), name)
+    out = E.landed(E.windowed(E.source(spark, sf_dir, "events"), "ts", ["event_type"], "1 day", value="value"), ["window_start", "event_type"])
     return out.withColumn("total", F.round("total", 4))
 
 

@@ -125,6 +125,15 @@ def wrapped_csv(lines: DataFrame, schema: str, column: str = "value") -> DataFra
     return lines.select(F.from_csv(text, schema).alias("r")).select("r.*")
 
 
-def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """df with ordinal from 0 in the order of a source column, kept through later steps."""
-    return df.select("*", F.row_number().over(Window.orderBy(*order)).alias("ordinal")).withColumn("ordinal", F.col("ordinal") - 1)
+def with_ordinal(df: DataFrame, *order: str, buckets: int = 256) -> DataFrame:
+    """df with ordinal from 0 in the order of source columns, the first of them a number, date or timestamp; ties in all of them are
+    numbered in any order. Rows are numbered within ranges of the first column, between approximate quantiles, and moved up by the
+    counts of the ranges before, so no task orders the whole table. Nulls come first."""
+    first = F.col(order[0])
+    shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    bounds = sorted(set(df.agg(F.percentile_approx(first, shares, 10_000).alias("q")).first()["q"] or []))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= first)) if bounds else F.lit(0)
+    r = df.withColumn("__bucket", F.when(first.isNull(), -1).otherwise(place))
+    before = r.groupBy("__bucket").agg(F.count("*").alias("n")).select("__bucket", (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order))) - 1
+    return r.withColumn("__k", inner).join(F.broadcast(before), "__bucket").select(*df.columns, (F.col("__before") + F.col("__k")).cast("long").alias("ordinal"))

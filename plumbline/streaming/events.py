@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 8) -> DataFrame:
@@ -38,8 +42,29 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result, for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below spark.checkpoint.dir; on one machine, where that is unset, below its temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def landed(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream over what is there now; its updated rows are written by batches, and the last one of each key is returned. Nothing
+    passes through the driver, and a batch that is tried again overwrites its own folder."""
+    spark = stream.sparkSession
+    path = scratch_folder(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/part={number}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rest = [c for c in stream.columns if c not in keys]
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    log = spark.read.schema(schema).parquet(f"{path}/rows")
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest)).select(stream.columns)

@@ -11,8 +11,23 @@ def one(spark, column, *values):
     return [r[0] for r in df.select(column(F.col("c")).alias("x")).collect()]
 
 
-def test_complaint_predicate(spark):
-    assert one(spark, X.has_complaint, "No Negative", "Nothing", "", None, "Nothing really but the breakfast was cold", "dirty") == [False, False, False, False, True, True]
+@pytest.mark.parametrize(
+    ("text", "complains"),
+    [("No Negative", False), ("No Positive", True), ("Nothing", False), ("", False), (None, False), ("Nothing at all, lovely stay", False), ("Nothing really but the breakfast was cold", True), ("The bed was hard", True), ("None", False), ("N/A", True), ("n a", False), ("NA", False), ("Nil", False), ("- no complaints!", False), ("Everything was perfect", False), ("all good, however noisy", True), ("not much", False), ("nonexistent service", True), ("  \n", False)],
+)
+def test_complaint_predicate(spark, text, complains):
+    assert one(spark, X.has_complaint, text) == [complains]
+
+
+def test_keys_dates_and_posts(spark):
+    import hashlib
+
+    want = hashlib.sha256(b"salt|a b c").hexdigest()[:24]
+    assert one(spark, lambda c: X.text_key("salt", c), " a  b\nc ", "a b c") == [want, want]
+    assert [str(d) for d in one(spark, X.us_date, "8/3/2017", "08/03/2017", "13/1/2017", None)] == ["2017-08-03", "2017-08-03", "None", "None"]
+    assert one(spark, X.clean_post, "@you see https://x.y/z  #καλό www.a.b end", None) == ["see #καλό end", None]
+    a, b, c = one(spark, X.group_key, "Καλό  ΣΧΌΛΙΟ", "καλο σχολιο", "other")
+    assert a == b != c
 
 
 def test_canonical_text(spark):
@@ -25,14 +40,15 @@ def test_clean_text_and_preview(spark):
 
 
 def test_scripts_cities_tags(spark):
-    assert one(spark, X.script_of, "καλό room", "abc δ", "123") == ["greek", "latin", None]
+    assert one(spark, X.script_of, "καλό room", "abc δ", "123") == ["greek", "latin", "other"]
     assert one(spark, X.city_of, "A street 1 Paris France", "Nowhere") == ["Paris", "Other"]
     assert one(spark, lambda c: X.first_of(X.tag_list(c), ("Leisure trip", "Business trip")), "[' Leisure trip ', ' Couple ']", "broken") == ["Leisure trip", "Unknown"]
 
 
 def test_label_rule(spark):
-    df = spark.createDataFrame([("good", "No Negative"), ("No Positive", "bad"), ("good", "bad"), ("", "")], "p string, n string")
-    assert [r[0] for r in df.select(X.label_rule(F.col("p"), F.col("n"))).collect()] == [1, 0, None, None]
+    rows = [("good", "No Negative", 1), ("No Positive", "bad", 0), ("good", "bad", None), ("", "", None), ("Fine", None, None), ("No Negative", "bad", None), (" good ", " No Negative ", 1), ("No Positive", "No Negative", None), ("good", "no negative", None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "p string, n string")
+    assert [r[0] for r in df.select(X.label_rule(F.col("p"), F.col("n"))).collect()] == [r[2] for r in rows]
 
 
 @pytest.mark.parametrize(("k", "n", "low", "high"), [(0, 10, 0, 0.2775), (10, 10, 0.7225, 1), (56, 70, 0.6918, 0.8770)])

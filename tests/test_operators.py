@@ -1,10 +1,11 @@
 from datetime import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import aspects as AS
 from plumbline.operators import dataset as D
-from plumbline.operators import lexicon as L
 from plumbline.operators import metrics as M
 from plumbline.operators import state as ST
 from plumbline.operators import triage as R
@@ -64,18 +65,10 @@ def test_splits_and_samples(spark):
 
 
 def test_labelled_corpus(spark):
-    raw = rows(spark, [("Good Hotel", "No Negative"), ("good   hotel", ""), ("No Positive", "Bad Hotel"), ("both", "sides"), ("Fine", ""), ("", "fine")], "Positive_Review string, Negative_Review string")
+    raw = rows(spark, [("Good Hotel", "No Negative"), ("good   hotel", "No Negative"), ("No Positive", "Bad Hotel"), ("both", "sides"), ("Fine", ""), ("", "fine"), ("Odd", "No Negative"), ("No Positive", "odd")], "Positive_Review string, Negative_Review string")
     assert sorted((r["text"], r["label"]) for r in D.extract_labelled(raw).collect()) == [("Bad Hotel", 0), ("Good Hotel", 1)]
 
 
-def test_lexicon(spark):
-    t = rows(spark, [(1, "The room was spotless and the staff were kind. Horrible."), (2, "Great stay, but all fine"), (3, None)], "id int, text string")
-    m = {r["id"]: [(x["topic"], x["clause"]) for x in r["mentions"]] for r in L.mentions(t).collect()}
-    assert m[1] == [("cleanliness.general", "The room was spotless"), ("staff.people", "the staff were kind. Horrible.")] and m[2] == m[3] == []
-    c = L.tag_complaints(t, "id", "text").collect()
-    assert {(r["review_id"], r["topic"]) for r in c} == {(1, "cleanliness.general"), (1, "staff.people")}
-
-
 def test_small_lexicon_and_routing(spark):
     t = rows(spark, [("The shower was really cold",), ("The shower was cold, they fixed it",), ("Nice",)], "text string")
     assert [r["bathroom"] for r in R.lexicon_v1(t).collect()] == ["yes", "unsure", "unsure"]
@@ -102,3 +95,79 @@ def test_sources(spark, tmp_path):
     assert [r["text"] for r in files.paragraphs(t).collect()] == ["one", "two words"]
     r = rows(spark, [(1, "s", "x", "the room was fine and clean"), (1, "s", "x", "the bed was not very good")], "hotel_id int, source string, external_review_id string, text string")
     assert [x["reason"] for x in files.import_problems(r).collect()] == ["repeated"]
+
+
+def test_ordinals_follow_the_source_order(spark):
+    from plumbline.sources import files
+
+    df = rows(spark, [(i * 7 % 501, i % 3) for i in range(501)] + [(None, 1)], "at int, k int").repartition(5)
+    got = files.with_ordinal(df, "at", "k", buckets=8).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in got] == list(range(502)) and [r["at"] for r in got] == [None, *sorted(i * 7 % 501 for i in range(501))]
+    assert files.with_ordinal(df.where("false"), "at").count() == 0
+
+
+def test_checks_refuse_whole(spark):
+    from plumbline.operators import checks as C
+
+    a = rows(spark, [(1, "x"), (2, "y")], "id int, v string")
+    assert [tuple(r) for r in C.one_to_one(a, rows(spark, [(1, 5)], "id int, w int"), "id").orderBy("id").collect()] == [(1, "x", 5), (2, "y", None)]
+    with pytest.raises(C.Refused, match="id repeats in the right table"):
+        C.one_to_one(a, rows(spark, [(1, 5), (1, 6)], "id int, w int"), "id")
+    with pytest.raises(C.Refused, match="nothing is used"):
+        C.refuse(C.misaligned(a, a.where("id = 1"), "id", "v"), "pairs")
+    C.refuse(C.misaligned(a, a, "id", "v"), "pairs")
+    with pytest.raises(C.Refused, match="missing columns"):
+        C.require_columns(a, "id", "text")
+    assert C.manifest_problems({"a": "1", "b": "2"}, {"b": "3", "c": "4"}) == ["a: not recorded", "b: changed", "c: missing"]
+    assert C.redrawn(a, a, ["id", "v"]).count() == 0 and C.redrawn(a, a.where("id = 1"), ["id", "v"]).first()["side"] == "drawn"
+    assert C.same({"a": [1.0, True]}, {"a": [1.0 + 1e-12, True]}) == [] and C.same({"a": [1, True]}, {"a": [1, 1]}) == [".a[1]: True and 1"] and C.same({"a": 1}, {"b": 1}) == [".a: on one side", ".b: on one side"]
+    assert C.verified({"n": 3}, {"n": lambda: 3.0, "m": lambda: 1}) == ["m: not recorded"]
+    c = rows(spark, [(1, 1, [0.4, 0.6], "m"), (2, 2, [0.4, 0.5], "m"), (3, 4, [1.0, 0.0], "n")], "id int, place int, p array<double>, model string")
+    i = rows(spark, [(1, 1), (2, 2), (3, 3)], "id int, place int")
+    assert sorted(map(tuple, C.cache_problems(c, i, "id", "place", "p", "model").collect())) == [(2, "no distribution"), (3, "another model"), (3, "place differs")]
+
+
+def test_generated_answers(spark):
+    from plumbline.operators import generated as N
+
+    assert N.first_object('x {"a": {"b": 1, "b": 2}}') == (None, "repeated_key") and N.first_object("{[") == (None, "none") and N.first_object(None) == (None, "none")
+    assert N.diagnosis('{"a": 1} tail') == (False, []) and N.diagnosis(' {"a": {"b": 1, "b": 2}} ') == (False, ["b"]) and N.diagnosis("{}") == (True, [])
+    assert N.source_spans("One two. x\nThree four; five six") == ["One two.", "x\nThree four;", "five six"] or all(3 <= len(s) <= 400 for s in N.source_spans("One two. x\nThree four; five six"))
+    long = "word " * 300
+    assert all(len(s) <= 400 for s in N.source_spans(long)) and "".join(N.source_spans(long)).replace(" ", "") == long.replace(" ", "")
+    b = rows(spark, [('{"labels": [{"item": 1, "types": ["b", "a", "a"]}, {"item": 2, "types": []}]}', [1, 2]), ('```json\n{"labels": [{"item": 1, "types": ["zz"]}]}\n```', [1]), ('{"labels": [{"item": 1, "types": []}]}', [1, 2]), ("no", [1])], "a string, items array<int>")
+    got = N.batch_answers(b, "a", "items", ("a", "b")).collect()
+    assert [r["refused"] for r in got] == [None, "types", "items", "no_object"] and got[0]["labels"] == {1: ["a", "b"], 2: []}
+    q = '{"issues": [{"problem": "lamp broke", "excerpt": "the lamp broke", "evidence": {"reported": "the lamp broke", "hypothetical": null, "resolved": null}, "status": "REAL_PENDING", "category": "equipment_fault"}]}'
+    i = N.issues(rows(spark, [(q, "Oh, the lamp broke."), (q, "another text"), (q.replace("equipment_fault", "x"), "the lamp broke"), ("{}", "t")], "a string, t string"), "a", "t")
+    assert [r["refused"] for r in i.collect()] == [None, "quotes", "fields", "no_object"]
+    m = N.measures(i.where("refused is null").withColumn("m", F.lit('{"actions": [{"issue_id": 1, "measure": "replace it", "to_confirm": ["which lamp"]}]}')), "m").first()["actions"]
+    assert [(a["department"], a["measure"]) for a in m] == [("maintenance", "replace it")]
+    u = rows(spark, [(["b", "a", "z"], ["a", "b", "c"])], "t array<string>, c array<string>")
+    assert u.select(N.urgent_flags(F.col("t"), F.col("c"), ["a", "b", "c"])).first()[0] == ["a", "b"]
+
+
+def test_judgements(spark):
+    import numpy as np
+
+    from plumbline.operators import judging as J
+
+    pairs = J.model_comparison(rows(spark, [("a", 1, 1), ("a", 2, 0), ("b", 1, 0), ("b", 2, 0), ("c", 1, 1)], "model string, id int, predicted int"), rows(spark, [(1, 1), (2, 0)], "id int, label int"), "id")
+    assert [(r["model"], r["accuracy"]) for r in pairs[0].orderBy("model").collect()] == [("a", 1.0), ("b", 0.5)] and J.tested(pairs[1])[0]["p"] == 1.0
+    t = np.array([[[5, 1], [1, 5]]] * 6)
+    assert J.paired_cluster_bootstrap(t, t) == (0.0, 0.0, 0.0)
+    k = J.kappa_interval(np.array([[40, 5], [5, 50]]))
+    assert k["status"] == "ok" and k["low"] < k["kappa"] < k["high"] and J.kappa_interval(np.array([[9, 0], [0, 0]]))["status"] == "undefined"
+    s = rows(spark, [(1, "x", 0.5, 0, 1.0), (2, "x", 0.9, 0, 1.0), (3, "x", 0.9, 1, 1.0), (4, "y", 0.2, 0, 1.0)], "review_id int, type string, p double, truth int, weight double")
+    final, steps = J.risen(s, {"x": 0.4, "y": 0.4}, 25.0)
+    assert steps[0]["fa"] == 50.0 and final == {"x": 0.55, "y": 0.55} and len(steps) == 4
+    assert J.variant([("A", 0.5, 9.0), ("B", 0.7, 4.0), ("C", 0.7, 3.0)], 5.0) == "B" and J.variant([("A", 0.5, 9.0)], 5.0) == "A"
+    lead = rows(spark, [("s", 0.80), ("h", 0.78)], "n string, v double")
+    assert J.by_margin(lead, "n", "v", "s", 0.05).first()["best"] == "h" and J.by_margin(lead, "n", "v", "s", 0.01).first()["best"] == "s"
+    h = rows(spark, [(True, 4, 5), (True, 3, 5), (False, 0, 5)], "qualifies boolean, a int, b int")
+    assert tuple(map(float, J.macro(h, "a", "b"))) == (0.7, 0.6)
+    line = J.context_line(rows(spark, [("noise", 3, 0.9), ("room", 0, 0.8), ("food", 2, 0.95)], "aspect string, negative_count int, priority_score double"), 30).first()["line"]
+    assert line.endswith("(last 30 days): food 2, noise 3")
+    sheet = rows(spark, [("a", 1, 1, 1, 0, 0, 1, 0, 0, 0, False), ("b", 0, 0, 0, 0, 0, 2, 1, 1, 0, False), ("c", 1, 1, 1, 1, 0, 1, 0, 0, 0, True)], "blind_id string, n_actions int, useful int, useful_actions int, wrong_department int, unnecessary int, actual int, missed int, unaddressed int, invented int, failed boolean")
+    assert {(r[0], r[1]) for r in J.ratings_refused(sheet).collect()} == {("b", "nothing accepted, yet addressed"), ("c", "more judged than accepted"), ("c", "failed and useful"), ("c", "useful with shortcomings")}
+    assert J.coverage(sheet).first()["addressed"] == 0.75

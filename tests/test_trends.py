@@ -26,8 +26,11 @@ def test_within_hotel_change_apart_from_mix(tables):
 
 
 def test_interval_holds_the_point(tables):
-    row = T.within_hotel_intervals(T.hotel_counts(*tables, W))[0]
-    assert round(row["within_hotel_change"], 9) == 0.1 and row["ci95"][0] <= 0.1 <= row["ci95"][1]
+    rows = T.change_intervals(T.hotel_counts(*tables, W), [0.95, T.strict_level(10)]).orderBy("level").collect()
+    for r in rows:
+        assert round(r["change"], 9) == 0.1 and r["low"] <= 0.1 <= r["high"] and r["hotels"] == 2
+    assert rows[1]["low"] <= rows[0]["low"] and rows[1]["high"] >= rows[0]["high"]
+    assert T.change_intervals(T.hotel_counts(*tables, W).where("false"), [0.95]).count() == 0
 
 
 def test_year_over_year(tables):
@@ -53,8 +56,9 @@ def test_windows():
         T.windows(date(2015, 8, 4), date(2017, 8, 3), since="2016-09")
 
 
-def test_flags():
-    assert [T.flag(*x) for x in ((0.001, 0.02, 0.2), (-0.02, -0.001, -0.2), (-0.001, 0.02, 0.2), (0.001, 0.002, 0.05))] == ["rising", "falling", "", ""]
+def test_flags(spark):
+    cases = spark.createDataFrame([(0.001, 0.02, 0.2), (-0.02, -0.001, -0.2), (-0.001, 0.02, 0.2), (0.001, 0.002, 0.05)], "low double, high double, relative double")
+    assert [r[0] for r in cases.select(T.flag(F.col("low"), F.col("high"), F.col("relative"))).collect()] == ["rising", "falling", "", ""]
 
 
 def test_segment_shares_sum_to_one(tables):
