@@ -16,6 +16,7 @@ rows; an empty table gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
@@ -218,7 +219,7 @@ def paragraphs(lines: list[tuple[int, int]], text: bytes) -> tuple[list[tuple[in
 
 def judged(text: bytes, start: int, end: int, model: Model, agree: float) -> dict | None:
     words = words_of(text[start:end])
-    if REQUIRED.isdisjoint(words):
+    if not needed(agree)(set(words)):
         return None
     p = model.probabilities(words)
     k = int(p[:-1].argmax())
@@ -288,10 +289,10 @@ SPANS = "array<struct<start:long,end:long,family:string,probability:double,agree
 
 
 def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", agree: float = 0.5) -> DataFrame:
-    """doc_id, n_paragraphs (lines), licences (byte spans with family, probability and agreement) for every document.
+    """doc_id, n_paragraphs (its lines), licences (byte spans with family, probability and agreement) for every document.
 
-    A paragraph without any n-gram of a template can't be confirmed; such paragraphs, found by one search for the
-    templates' rarer words, skip the model, which changes no result."""
+    A paragraph that lacks the words with which it could agree with any template (Needed) skips the model, which changes no result: no
+    prediction for it would be confirmed."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -302,35 +303,62 @@ def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "
             n, spans = [], []
             for t in as_bytes(batch.column("text")):
                 n.append(t.count(b"\n") + 1 if t else 0)
-                spans.append(found(t, shared.value, agree) if needs(t) else [])
+                spans.append(found(t, shared.value, agree) if needed(agree).text(t) else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(struct))], names=["doc_id", "n_paragraphs", "licences"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_paragraphs long, licences {SPANS}")
 
 
 LETTERS = bytes(b if 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+DIGIT = re.compile(rb"[0-9]")
 
 
-def needs(text: bytes) -> bool:
-    """Whether the text holds a word that every confirmed paragraph must hold one of."""
-    return not REQUIRED.isdisjoint(text.translate(LETTERS).split())
+class Needed:
+    """Words without which a paragraph can't agree with any template: one of `words`, or for one of `groups` so many of its words.
 
+    With agreement `agree` a paragraph shares at least agree / 2 of a template's n-grams: it holds that share of them, or that share of
+    its own n-grams are the template's and it has half as many at least; with a heading it is more. So rare words are taken from each
+    template, the longest first, until the n-grams free of them are too few. Where common words alone still make up enough, the
+    group is of the words in these n-grams, with the least number of them that any n-grams enough can be made of."""
 
-def _required(agree: float = 0.5) -> set[bytes]:
-    """Words of each template, the longest first, until the n-grams free of them are too few to agree: a paragraph with none
-    of these words shares less than half of the needed n-grams with any template."""
-    common = set(b"the of and in to a is this you it for by with or be on as at an any are that from can may not without use all see no under".split())
-    chosen: set[bytes] = set()
-    for f, ts in TEMPLATES.items():
-        for t in ts + HEADINGS[f]:
-            words = words_of(t.encode())
-            pick = sorted(set(words) - common - {b"0"}, key=lambda w: (-len(w), w))
-            for w in [x for x in pick if x in chosen] + [x for x in pick if x not in chosen]:
-                free = [g for g in grams(words) if not set(g.split(b" ")) & chosen]
-                if len(free) < agree * len(grams(words)) / 2:
+    #: Too frequent to be worth a search.
+    COMMON = frozenset(b"the of and in to a is this you it for by with or be on as at an any are that from can may not without use all see no under".split())
+
+    def __init__(self, agree: float):
+        # (words, their n-grams, how many of them an agreeing paragraph holds at least)
+        every = [(w, grams(w), agree * len(grams(w)) / half) for ts, half in ((TEMPLATES, 2), (HEADINGS, 1)) for f in FAMILIES for w in (words_of(t.encode()) for t in ts[f])]
+        chosen: set[bytes] = set()
+        free = lambda own: [g for g in own if chosen.isdisjoint(g.split(b" "))]
+        for words, own, least in every:
+            for w in sorted(set(words) - self.COMMON - {b"0"}, key=lambda w: (w not in chosen, -len(w), w)):
+                if len(free(own)) < least:
                     break
                 chosen.add(w)
-    return chosen
-
-
-REQUIRED = _required()
+        groups = set()
+        for _, own, least in every:
+            rest = [frozenset(g.split(b" ")) for g in free(own)]
+            if len(rest) >= least:
+                common = frozenset().union(*rest)
+                groups.add((common, next(k for k in range(len(common) + 1) if any(sum(g <= set(some) for g in rest) >= least for some in itertools.combinations(common, k)))))
+        self.words, self.groups = frozenset(chosen), tuple(groups)
+        if any(k < 1 or any(w != b"0" and not (w.isalpha() and w.isascii()) for w in own) for own, k in groups):
+            raise ValueError("a template has no words that tell whether a paragraph may agree with it")
+
+    def __call__(self, words: set[bytes]) -> bool:
+        return not self.words.isdisjoint(words) or any(len(own & words) >= k for own, k in self.groups)
+
+    def text(self, text: bytes) -> bool:
+        """Whether any paragraph of a text can."""
+        words = set(text.translate(LETTERS).split())
+        if DIGIT.search(text):
+            words.add(b"0")
+        return self(words)
+
+
+_NEEDED: dict[float, Needed] = {}
+
+
+def needed(agree: float) -> Needed:
+    if agree not in _NEEDED:
+        _NEEDED[agree] = Needed(agree)
+    return _NEEDED[agree]
