@@ -62,6 +62,7 @@ def codes(x: np.ndarray, tables: int = TABLES, joint: int = JOINT, probes: int =
 def units(column) -> np.ndarray:
     """(rows, width) doubles of unit length; all rows have one width here."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(1)[:, None]  # squares of very large or small components stay in range
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -96,8 +97,7 @@ def meetings(group: np.ndarray, base: np.ndarray, side: np.ndarray, small: int):
 def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST, tables: int = TABLES, joint: int = JOINT, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"), F.col(label).cast("string").alias("label"))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    good = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (square > 0) & (square < float("inf")), F.lit(False))
+    good = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     kept = rows.where(good)
     classes = stored(kept.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     member = kept.join(classes, ["label", "v"]).select("vec_id", F.col("id").alias("of"), "copies").groupBy("vec_id").agg(F.min("of").alias("of"), F.min("copies").alias("copies"))
@@ -147,13 +147,13 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
         links, forest, edges = np.zeros(len(who), np.int64), Forest(), []
         for p, q in meetings(spot, base, side, 64):
             if isinstance(p, slice):
-                a, b = np.nonzero(x[at[p]] @ x[at[q]].T >= least)
+                # a product that is near enough; each pair is judged below, by the same sum wherever it meets
+                a, b = np.nonzero(x[at[p]] @ x[at[q]].T >= least - 1e-9)
                 p, q = a + p.start, b + q.start
                 ok = (q > p) & ((side[p] == 2) | (side[p] != side[q]))
                 p, q = p[ok], q[ok]
-            else:
-                ok = np.einsum("ij,ij->i", x[at[p]], x[at[q]]) >= least
-                p, q = p[ok], q[ok]
+            ok = np.einsum("ij,ij->i", x[at[p]], x[at[q]]) >= least
+            p, q = p[ok], q[ok]
             if not len(p):
                 continue
             lo, hi = np.minimum(at[p], at[q]), np.maximum(at[p], at[q])
