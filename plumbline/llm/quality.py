@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import LOWER, as_bytes, stored
 
@@ -163,14 +164,21 @@ def scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents, all columns, whose score reaches the threshold."""
-    model = train(stored(_features(docs, doc_id, text), "statistics"), labels, doc_id=doc_id, **options)
-    at = docs.columns.index(text)
+    """The documents, all columns, whose score reaches the threshold. Texts are read once: the documents are stored with their
+    statistics, which the model learns from and scores."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = np.array([statistics(t) for t in as_bytes(batch.column(at))])
-                yield batch.filter(pa.array(model.score(x) >= threshold))
+            x = [statistics(t) for t in as_bytes(batch.column("d").field(text))]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(x, pa.list_(pa.float64()))], names=["d", "x"])
 
-    return docs.mapInArrow(run, docs.schema)
+    whole = docs.select(F.struct(*docs.columns).alias("d"))
+    schema = T.StructType([*whole.schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
+    held = stored(whole.mapInArrow(run, schema), "statistics")
+    model = train(held.select(F.col("d")[doc_id].alias("doc_id"), "x"), labels, doc_id=doc_id, **options)
+
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(x.flatten().to_numpy().reshape(len(x), len(NAMES))) if len(x) else [], pa.float64())
+
+    return held.where(score("x") >= threshold).select("d.*")
