@@ -7,7 +7,12 @@ last, which returns the packed pieces. run() writes each stage as Parquet to the
 2. near_duplicates: of documents linked by 5-word shingles at a similarity of 0.75 or more the smallest doc_id stays.
 3. repeats: cuts bytes covered by a 50-byte string that starts in a document with a smaller doc_id; n_chars follows.
 4. decontamination: rejects documents that hold ten consecutive words of a `benchmark` item, or a shorter item whole.
-5. packing: best-fit packing into sequences of 4096 tokens."""
+5. packing: best-fit packing into sequences of 4096 tokens.
+
+Defined cases, each by its operator's docstring: null and empty texts stay where the classifier keeps them, are linked and cut with
+nothing, hold no item, and pack to their end id; rows that repeat a doc_id are judged each by its own text; rows with a null doc_id are
+linked with nothing and count as larger than every other for repeats; an empty table gives empty stages; extra columns, whatever
+their names, stay until packing."""
 
 from __future__ import annotations
 
@@ -19,22 +24,27 @@ from plumbline.llm.entries import table, vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier scores 0.3 or more; null and empty texts are scored like any other."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the row or rows with the smallest doc_id; without shingles a text links with nothing."""
     return jaccard.one_of_each(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without the repeats of documents with a smaller doc_id; null texts stay null."""
     return repeats.without_repeats(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without any window of a benchmark item; null texts hold none."""
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of every document; null and empty texts are their end id."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -46,7 +56,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifier and the tokenizer have no SQL; tests compare the stages with brute force.
+#: The classifier and the tokenizer have no SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
