@@ -6,8 +6,8 @@ Two texts link when 100 * |intersection| >= 75 * |union| of their distinct 5-wor
    the number in each. Equal sets are one class from then on. The same pass counts shingles in a sketch of fixed size.
 2. Linked sets share a shingle among the first n - ceil(0.75 n) + 1 of each, in any one order of shingles. The order is by
    the sketch's count, then by hash, so frequent shingles come last and seldom bring texts together.
-3. Texts that share such a shingle form a list. Count vectors of a list's texts are points in an R-tree, whose nodes hold
-   coordinate maxima. The sum of coordinate minima bounds the intersection of two points, and of two nodes; pairs
+3. Texts that share such a shingle form a list; a list of more than 2 * block texts is dealt as pairs of blocks. Count vectors of a
+   list's texts are points in an R-tree, whose nodes hold coordinate maxima; a list that fits a leaf is a tree of that leaf. The sum of coordinate minima bounds the intersection of two points, and of two nodes; pairs
    below what linking needs are cut, at nodes or leaves. What survives leaves as a spanning forest, whose components are
    closed: no link crosses them.
 4. Within a component pairs that the bound lets through are verified on the sets themselves, most alike sizes first; a pair
@@ -35,6 +35,8 @@ from plumbline.llm.shingles import mix, shingle_sets
 GROUPS, LEAF, FAN = 512, 32, 16
 SKETCH_BITS, SKETCH_PIECE = 24, 1 << 18
 CHUNK = 1 << 20
+#: Bytes of text for each partition that makes a sketch, and for each partial sum of sketches.
+SKETCHED, SUMMED = 48 << 20, 2 << 30
 BLOCK = 1024
 #: Hash slots of the filter that spares texts in no candidate component the second look; a full filter only spares none.
 FILTER = 1 << 20
@@ -102,17 +104,18 @@ class Tree:
         return pairs
 
 
-def candidates(ids: np.ndarray, v: np.ndarray, n: np.ndarray, forest: Forest) -> None:
-    """Joins in the forest every two texts of a list that the bound lets through, unless they are joined already."""
+def candidates(ids: np.ndarray, v: np.ndarray, n: np.ndarray, side: np.ndarray, forest: Forest) -> None:
+    """Joins in the forest every two texts of a list that the bound lets through, unless they are joined already. Of two blocks
+    (side 0 and 1; 2: one block alone) only pairs across them are compared."""
     order = np.argsort(n, kind="stable")
-    ids, v, n = ids[order], v[order], n[order]
+    ids, v, n, side = ids[order], v[order], n[order], side[order]
     tree = Tree(v, n)
     for a, b in tree.leaf_pairs().tolist():
         i, j = np.arange(a * LEAF, min((a + 1) * LEAF, len(n))), np.arange(b * LEAF, min((b + 1) * LEAF, len(n)))
         if len(n) > 4 * LEAF and len({forest.find(x) for x in ids[np.r_[i, j]].tolist()}) == 1:
             continue
         ok = comparable(n[i][:, None], n[j][None]) & (bound(v[i][:, None], v[j][None]) >= need(n[i][:, None], n[j][None]))
-        p, q = np.nonzero(ok)
+        p, q = np.nonzero(ok & ((side[i][:, None] == 2) | (side[i][:, None] != side[j][None])))
         keep = i[p] < j[q]
         for x, y in zip(ids[i[p[keep]]].tolist(), ids[j[q[keep]]].tolist(), strict=True):
             forest.union(x, y)
@@ -137,6 +140,7 @@ def described(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = pa.struct([("id", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
+        z = zstandard.ZstdCompressor(level=1)
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for ids, h, bounds in in_chunks(batches):
             np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -145,8 +149,7 @@ def described(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             prints = np.stack([s[bounds[1:]] - s[bounds[:-1]] for s in sums], 1)
             v = vectors_of(h, bounds)
             k = len(size)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.StructArray.from_arrays([ids.field("id"), ids.field("node")], fields=list(key)), pa.array(size, pa.int64()), pa.array([blob(x) for x in prints], pa.binary()), pa.array([blob(x) for x in v], pa.binary())], names=["piece", "id", "n", "print", "data"])
-        z = zstandard.ZstdCompressor(level=1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.StructArray.from_arrays([ids.field("id"), ids.field("node")], fields=list(key)), pa.array(size, pa.int64()), pa.array([blob(x) for x in prints], pa.binary()), pa.array([z.compress(x) for x in v], pa.binary())], names=["piece", "id", "n", "print", "data"])
         for k in range((1 << SKETCH_BITS) // SKETCH_PIECE):
             part = counts[k * SKETCH_PIECE : (k + 1) * SKETCH_PIECE]
             if part.any():
@@ -163,10 +166,10 @@ def summed(key, data):
     return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
 
 
-def levels(sketch: DataFrame) -> np.ndarray:
+def levels(sketch: DataFrame, total: int) -> np.ndarray:
     """One byte for each slot of the sketch, growing with its count: spread over the counts' common range, then by doublings.
-    Partial sums of up to 64 groups of partitions first, so no task gathers the pieces of all partitions."""
-    grouped = sketch.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(64))).groupBy("piece", "part").applyInArrow(summed, "piece int, data binary")
+    Partial sums first, for about every SUMMED bytes of text, so no task gathers the pieces of all partitions."""
+    grouped = sketch.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(parts_for(total, SUMMED)))).groupBy("piece", "part").applyInArrow(summed, "piece int, data binary")
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in grouped.groupBy("piece").applyInArrow(summed, "piece int, data binary").toLocalIterator():
         counts[r["piece"] * SKETCH_PIECE : (r["piece"] + 1) * SKETCH_PIECE] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint32)
@@ -187,8 +190,22 @@ def prefixes(h: np.ndarray, bounds: np.ndarray, level: np.ndarray) -> tuple[np.n
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.repeat(np.arange(len(size)), first)
 
 
-def shared_prefixes(rows: DataFrame, level, parts: int) -> DataFrame:
-    """(list, id): texts that share a shingle of their prefixes with another text. Blobs of columns move, not rows."""
+def packed(h: np.ndarray) -> bytes:
+    """The upper 5 bytes of each hash. With the bucket, which the lower bits give, they tell shingles apart well enough to bring texts
+    together; where they don't, a list holds texts that its tree and the sets part again."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 3:] = raw
+    return out.view("<u8").ravel()
+
+
+def shared_prefixes(rows: DataFrame, level, parts: int, block: int) -> DataFrame:
+    """(list, id, nb): texts that share a shingle of their prefixes with another text, and in how many blocks of about `block` texts
+    their list is to be dealt. Blobs of columns move, not rows."""
 
     def emit(batches):
         for ids, h, bounds in in_chunks(batches):
@@ -202,21 +219,21 @@ def shared_prefixes(rows: DataFrame, level, parts: int) -> DataFrame:
             mine = keep[of]
             at, of = at[mine], of[mine]
             hs, names = h[at], ids.to_numpy()[of]
-            bucket = (hs % np.uint64(parts)).astype(np.int64)
+            bucket = (hs % np.uint64(parts)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             hs, names, bucket = hs[order], names[order], bucket[order]
             edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
             cut = list(zip(edge[:-1], edge[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array([blob(hs[a:b]) for a, b in cut], pa.binary()), pa.array([blob(names[a:b]) for a, b in cut], pa.binary())], names=["bucket", "h", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array([packed(hs[a:b]) for a, b in cut], pa.binary()), pa.array([blob(names[a:b]) for a, b in cut], pa.binary())], names=["bucket", "h", "ids"])
 
     def meet(batches):
         hs, ids = [], []
         for batch in batches:
-            hs += [np.frombuffer(x.as_py(), "<u8") for x in batch.column("h")]
+            hs += batch.column("h").to_pylist()
             ids += [np.frombuffer(x.as_py(), "<i8") for x in batch.column("ids")]
         if not hs:
             return
-        h, names = np.concatenate(hs), np.concatenate(ids)
+        h, names = unpacked(hs), np.concatenate(ids)
         order = np.argsort(h, kind="stable")
         h, names = h[order], names[order]
         same = h[1:] == h[:-1]
@@ -227,10 +244,21 @@ def shared_prefixes(rows: DataFrame, level, parts: int) -> DataFrame:
         size = np.diff(np.r_[edge, len(h)])
         total = np.add.reduceat(mix(names.astype(np.uint64)), edge) if len(edge) else np.zeros(0, np.uint64)
         h = np.repeat(mix(total + size.astype(np.uint64)), size).view("<i8")
+        nb = np.repeat(-(-size // block), size).astype(np.int32)
         for s in range(0, len(h), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[s : s + 50_000]), pa.array(names[s : s + 50_000])], names=["list", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in (h, names, nb)], names=["list", "id", "nb"])
+
+    dealt = rows.mapInArrow(lean(emit), "bucket int, h binary, ids binary").repartitionById(parts, F.col("bucket"))
+    return dealt.mapInArrow(lean(meet), "list long, id long, nb int").distinct()
+
 
-    return rows.mapInArrow(lean(emit), "bucket long, h binary, ids binary").repartition(parts, "bucket").mapInArrow(lean(meet), "list long, id long").distinct()
+def in_blocks(members: DataFrame, key: str, id_: str) -> DataFrame:
+    """members(key, id_, nb) with spot and side: members of a key are dealt to nb blocks, each pair of blocks and each block is a
+    spot; side is 0 or 1 for the block of a pair, 2 where the spot is one block."""
+    b = F.pmod(F.xxhash64(id_), F.col("nb")).cast("int")
+    m = members.withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    spot = F.when(F.col("nb") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("b", "o"), F.greatest("b", "o")))
+    return m.withColumn("spot", spot).withColumn("side", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1))
 
 
 def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
@@ -240,16 +268,17 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
         data = table_of(batches)
         if data is None:
             return
-        h, ids, n = (data.column(c).to_numpy() for c in ("list", "id", "n"))
+        h, ids, n, side = (data.column(c).to_numpy() for c in ("spot", "id", "n", "side"))
         order = np.lexsort((ids, h))
-        h, ids, n = h[order], ids[order], n[order]
-        again = np.r_[False, (h[1:] == h[:-1]) & (ids[1:] == ids[:-1])]
-        order, h, ids, n = order[~again], h[~again], ids[~again], n[~again]
-        v = flat(data.column("v").combine_chunks())[0].reshape(-1, GROUPS)[order]
-        del data
+        h, ids, n, side = h[order], ids[order], n[order], side[order]
+        # a text stands in many lists; its vector is unpacked once
+        who, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        z = zstandard.ZstdDecompressor()
+        vectors = np.frombuffer(b"".join(z.decompress(x.as_py()) for x in data.column("v").take(pa.array(order[first]))), np.uint8).reshape(-1, GROUPS)
+        del data, who
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
         size, forest = np.diff(edge), Forest()
-        # lists that fit a leaf are compared all at once
+        # the trees of lists that fit a leaf are that leaf; they are compared all at once
         few = np.repeat(size <= LEAF, size)
         last = np.repeat(edge[1:], size)
         p = np.flatnonzero(few)
@@ -260,53 +289,53 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 25_000, "right")))
             pp = np.repeat(p[a:b], k[a:b])
             qq = pp + 1 + np.arange(len(pp)) - np.repeat(np.cumsum(k[a:b]) - k[a:b], k[a:b])
-            ok = comparable(n[pp], n[qq])
+            ok = comparable(n[pp], n[qq]) & ((side[pp] == 2) | (side[pp] != side[qq]))
             pp, qq = pp[ok], qq[ok]
-            ok = bound(v[pp], v[qq]) >= need(n[pp], n[qq])
+            ok = bound(vectors[at[pp]], vectors[at[qq]]) >= need(n[pp], n[qq])
             for x, y in zip(ids[pp[ok]].tolist(), ids[qq[ok]].tolist(), strict=True):
                 forest.union(x, y)
             a = b
         for g in np.flatnonzero(size > LEAF):
-            candidates(ids[edge[g] : edge[g + 1]], v[edge[g] : edge[g + 1]], n[edge[g] : edge[g + 1]], forest)
+            s = slice(edge[g], edge[g + 1])
+            candidates(ids[s], vectors[at[s]], n[s], side[s], forest)
         yield edges_of(forest)
 
-    return lists.join(points, "id").repartition(4 * parts, "list").mapInArrow(lean(join), EDGES)
+    dealt = in_blocks(lists, "list", "id").select("spot", "side", "id")
+    return dealt.join(points, "id").repartition(4 * parts, "spot").mapInArrow(lean(join), EDGES)
 
 
 def verified_edges(rows: DataFrame, groups: DataFrame, parts: int, block: int) -> DataFrame:
-    """Links that span the components: sets of the texts in candidate groups, compared within their group."""
+    """Links that span the components: texts in candidate groups, their sets compared within the group."""
     slots = groups.select(F.pmod(F.xxhash64("node"), F.lit(FILTER)).cast("int").alias("s")).distinct().collect()
     mask = np.zeros(FILTER, bool)
     mask[[r["s"] for r in slots]] = True
     wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(mask))
 
-    def sets(batches):
+    def some(batches):
         for batch in batches:
             here = np.unpackbits(wanted.value).view(bool)[batch.column("slot").to_numpy()]
             kept = batch.filter(pa.array(here))
             if kept.num_rows:
-                for ids, h, bounds in in_chunks([kept]):
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([blob(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "set"])
+                yield kept.select(["id", "text"])
 
-    held = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int")).mapInArrow(lean(sets), "id long, set binary")
+    # texts move, not sets: they are smaller
+    held = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int")).mapInArrow(lean(some), "id long, text string")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    seats = groups.join(sizes, "component").select(F.col("node").alias("id"), "component", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("b"))
-    seats = seats.select("id", "component", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    seats = seats.select("id", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "component").withColumn("spot", F.xxhash64("component", "i", "j"))
+    seats = in_blocks(groups.join(sizes, "component").withColumnRenamed("node", "id"), "component", "id").select("id", "spot", "side")
 
     def verify(batches):
         data = table_of(batches)
         if data is None:
             return
-        ids, spot, b, i, j = (data.column(c).to_numpy() for c in ("id", "spot", "b", "i", "j"))
-        held = data.column("set")
+        ids, spot, side = (data.column(c).to_numpy() for c in ("id", "spot", "side"))
         order = np.lexsort((ids, spot))
         edge = np.flatnonzero(np.r_[True, np.diff(spot[order]) != 0, True])
         forest = Forest()
         for first, last in zip(edge[:-1], edge[1:], strict=True):
             at = order[first:last]
-            s = [np.frombuffer(held[int(k)].as_py(), "<u8") for k in at]
-            linked(ids[at], s, np.where(i[at] == j[at], 2, (b[at] == j[at]).astype(int)), forest)
+            texts = data.column("text").take(pa.array(at)).combine_chunks()
+            sets = [h[a:b] for _, h, bounds in in_chunks([pa.RecordBatch.from_arrays([pa.array(at), texts], names=["at", "text"])]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            linked(ids[at], sets, side[at], forest)
         yield edges_of(forest)
 
     return seats.join(held, "id").repartition(parts, "spot").mapInArrow(lean(verify), EDGES)
@@ -341,11 +370,11 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block:
     total = text_bytes(rows, "text")
     parts = parts_for(total, 16 << 20, 8)
     node = F.xxhash64("id", "text").alias("node")
-    facts, sketch = described(rows.select(F.struct("id", node).alias("id"), "text"))
+    facts, sketch = described(rows.select(F.struct("id", node).alias("id"), "text").coalesce(parts_for(total, SKETCHED)))
     known = facts.where("id is not null and n > 0")
-    level = spark.sparkContext.broadcast(levels(sketch))
+    level = spark.sparkContext.broadcast(levels(sketch, total))
     named = rows.where("id is not null").select(node.alias("id"), "text")
-    lists = shared_prefixes(named, level, parts)
+    lists = shared_prefixes(named, level, parts, 2 * block)
     near = stored(candidate_edges(lists, known, parts), "candidates")
     found = verified_edges(named, components(near), parts, block)
     names = known.select("node", "id").distinct()
