@@ -170,3 +170,20 @@ def softmax(a, temperature: float = 1.0) -> Column:
 
 def sigmoid(c) -> Column:
     return 1 / (1 + F.exp(-c))
+
+
+def literal_quote(text, quote) -> Column:
+    """Whether the quote stands in the text, letter for letter; an empty one doesn't."""
+    return F.coalesce((quote != "") & F.contains(text, quote), F.lit(False))
+
+
+def mapped(c, values: dict, strict: bool = True) -> Column:
+    """The value that a name stands for. An unknown name is an error, or null where not strict; null stays null."""
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), c)
+    return F.when(c.isNull() | known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("unknown value: "), c.cast("string")))) if strict else known
+
+
+def encoded(c, vocabulary: dict[str, int], most: int, unknown: int = 1) -> Column:
+    """The first `most` tokens of a text as ids of a vocabulary (operators/models.vocabulary bounds its size)."""
+    ids = F.create_map(*(F.lit(x) for pair in vocabulary.items() for x in pair)) if vocabulary else F.lit(None).cast("map<string,int>")
+    return F.transform(F.slice(tokens(c), 1, most), lambda t: F.coalesce(F.try_element_at(ids, t), F.lit(unknown)))

@@ -48,12 +48,15 @@ def summary(rows: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def recommendations(rows: DataFrame, hotel_id, days: int, as_of: datetime, texts: DataFrame | None = None) -> DataFrame:
-    """The summary's aspects with negatives; texts(aspect, recommendation) adds advice, generic where it has none."""
+    """The summary's aspects with negatives; texts(aspect, recommendation) adds advice: the aspect's own, else its category's (what stands
+    before the dot), else a generic one."""
     if not 7 <= days <= 365:
         raise ValueError("days must be 7 to 365")
     out = summary(in_window(rows, hotel_id, as_of, days), in_window(rows, hotel_id, as_of, days, 1)).where("negative_count > 0")
     if texts is not None:
-        out = out.join(texts, "aspect", "left").withColumn("recommendation", F.coalesce("recommendation", F.lit("Read the negative reviews and plan improvements.")))
+        wide = texts.select(F.col("aspect").alias("category"), F.col("recommendation").alias("wider"))
+        out = out.join(texts, "aspect", "left").withColumn("category", F.substring_index("aspect", ".", 1)).join(wide, "category", "left")
+        out = out.withColumn("recommendation", F.coalesce("recommendation", "wider", F.lit("Read the negative reviews and plan improvements."))).drop("category", "wider")
     return out
 
 

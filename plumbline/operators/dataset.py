@@ -6,6 +6,7 @@ Ranks are taken within strata; a draw over all rows ranks by hash ranges first,
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,23 +38,27 @@ def global_rank(rows: DataFrame, order: Column, buckets: int = 256) -> DataFrame
     return r.withColumn("__k", inner).join(F.broadcast(before), "__b").withColumn("rank", F.col("before") + F.col("__k")).drop("__o", "__b", "__k", "before")
 
 
-def stratified_split(rows: DataFrame, key: str, label: str, *, test: float, dev: float, seed: str = "0") -> DataFrame:
-    """rows with split: in each label the first rows by hash are test, then dev, at least one and at most n - 2 each."""
+def stratified_split(rows: DataFrame, key: str, label: str, *, test: float, dev: float, seed: str = "0", most: int | None = None) -> DataFrame:
+    """rows with split: in each label the first rows by hash are test, then dev, at least one and at most n - 2 each; with `most` no more
+    train rows of a label than that."""
     n = rows.groupBy(label).agg(F.count("*").alias("n"))
     r = rows.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, key), key))).join(n, label)
     t = F.greatest(F.lit(1), F.least(F.floor(F.col("n") * test), F.col("n") - 2))
     d = F.greatest(F.lit(1), F.floor((F.col("n") - t) * dev))
-    return r.withColumn("split", F.when(F.col("k") <= t, "test").when(F.col("k") <= t + d, "dev").otherwise("train")).drop("k", "n")
+    r = r.withColumn("split", F.when(F.col("k") <= t, "test").when(F.col("k") <= t + d, "dev").otherwise("train"))
+    return (r if most is None else r.where((F.col("split") != "train") | (F.col("k") - t - d <= most))).drop("k", "n")
 
 
 def time_split(rows: DataFrame, day: str, *, train: float, dev: float) -> DataFrame:
-    """rows with split by date; a date never straddles. Cut dates come from counts of dates."""
+    """rows with split by date; a date never straddles, and too few dates for three splits are an error. Cut dates come from counts of dates."""
     n = rows.groupBy(day).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     upto = F.sum("n").over(Window.orderBy(day))
     cuts = n.select(day, "n", upto.alias("upto"), total.alias("total"))
     first = lambda f: F.min(F.when(F.col("upto") > F.floor(F.col("total") * f), F.col(day)))
-    c = cuts.agg(first(train).alias("c1"), first(train + dev).alias("c2"))
+    c = cuts.agg(first(train).alias("c1"), first(train + dev).alias("c2"), F.count("*").alias("days"))
+    few = F.col("days").isNull() | (F.col("days") < 3) | (F.col("c1") >= F.col("c2"))
+    c = c.select(F.when(few, F.raise_error(F.lit("too few dates for three splits")).cast(rows.schema[day].dataType)).otherwise(F.col("c1")).alias("c1"), "c2")
     return rows.crossJoin(F.broadcast(c)).withColumn("split", F.when(F.col(day) < F.col("c1"), "train").when(F.col(day) < F.col("c2"), "dev").otherwise("test")).drop("c1", "c2")
 
 
@@ -94,6 +99,13 @@ def two_stage_sample(rows: DataFrame, matches: DataFrame, key: str, topic: str,
     return r.withColumn("drawn_for", F.lit("R")).unionByName(m)
 
 
+def shortfalls(sample: DataFrame, wanted: dict[str, int], drawn_for: str = "drawn_for") -> DataFrame:
+    """(drawn_for, wanted, drawn): the topics for which fewer rows were found than wanted."""
+    w = sample.sparkSession.createDataFrame(list(wanted.items()), f"{drawn_for} string, wanted int")
+    n = sample.groupBy(drawn_for).agg(F.count("*").alias("drawn"))
+    return w.join(n, drawn_for, "left").select(drawn_for, "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn")).where("drawn < wanted")
+
+
 def cross_split_overlap(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     """(split_a, split_b, shared): keys that two splits hold."""
     s = rows.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("s")).where(F.size("s") > 1)
@@ -102,12 +114,38 @@ def cross_split_overlap(rows: DataFrame, key: str, split: str = "split") -> Data
 
 
 def assert_disjoint(rows: DataFrame, key: str, split: str = "split", policy: str = "raise") -> list[dict]:
+    """The overlaps, at most one for each pair of splits; any is an error, a warning, or neither by the policy raise, warn or ignore."""
+    if policy not in ("raise", "warn", "ignore"):
+        raise ValueError(f"no policy {policy}")
     bad = [r.asDict() for r in cross_split_overlap(rows, key, split).collect()]
     if bad and policy == "raise":
         raise ValueError(f"splits share rows: {bad}")
+    if bad and policy == "warn":
+        warnings.warn(f"splits share rows: {bad}", stacklevel=2)
     return bad
 
 
+def duplicates(rows: DataFrame, key: str, mode: str, *order: str) -> DataFrame:
+    """rows with group, what a split keeps together: the key (mode group), the key with one row each, the first in the order (drop), or
+    each row by itself (keep)."""
+    if mode == "drop":
+        return keep_earliest(rows, key, *order).withColumn("group", F.col(key).cast("string"))
+    if mode in ("group", "keep"):
+        return rows.withColumn("group", F.col(key).cast("string") if mode == "group" else F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in order)), 256))
+    raise ValueError(f"no mode {mode}")
+
+
+def ordered_digest(rows: DataFrame, order: str, *columns: str) -> str:
+    """SHA-256 over all rows in their order, each value after its length in eight bytes: the digest of the whole sequence. Rows come to the
+    driver one partition at a time and are folded there, since SHA-256 can't be joined from parts."""
+    digest = hashlib.sha256()
+    for r in rows.select(order, *(F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"c{i}") for i, c in enumerate(columns))).orderBy(order).toLocalIterator():
+        for value in r[1:]:
+            raw = value.encode()
+            digest.update(len(raw).to_bytes(8, "big") + raw)
+    return digest.hexdigest()
+
+
 def fingerprint(rows: DataFrame, *columns: str) -> str:
     """Digest of all rows whatever their order: digests by their first two digits, each an ordered digest of its rows'."""
     parts = F.concat_ws("", *(F.concat(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns))

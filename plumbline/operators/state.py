@@ -94,3 +94,72 @@ def quota(submissions: DataFrame, rated: DataFrame, analysed: DataFrame, key: st
     r = r.join(analysed.select(key, F.lit(True).alias("known")).distinct(), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
     fresh = r.where(~F.col("known")).orderBy(at, key).limit(max(0, min(once, most - used)))
     return r.where("known").unionByName(fresh)
+
+
+def card(findings: DataFrame, tickets: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """Each finding with its ticket's id and state, null where it has none, and its review's reply. tickets: finding_id, ticket_id, state;
+    replies: review_id, draft, approved_text."""
+    out = findings.join(tickets.select("finding_id", "ticket_id", F.col("state").alias("ticket_state")), "finding_id", "left")
+    return out.join(replies.select("review_id", "draft", "approved_text"), "review_id", "left") if replies is not None else out
+
+
+def children(log: DataFrame, keys: list[str], version: str, nested: str) -> DataFrame:
+    """(keys..., position, child...): the children that the last row of each key carries. They are nested in the row, so a later version
+    replaces them all at once, with none of the earlier ones left."""
+    last = latest(log.select(*keys, version, nested), keys, version)
+    return last.select(*keys, F.posexplode(nested).alias("position", "c")).select(*keys, "position", "c.*")
+
+
+def erased(tables: dict[str, DataFrame], gone: DataFrame, keys: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the tables without the keys that are gone, keys with found: whether any table held them)."""
+    left = {name: t.join(gone.select(keys), keys, "left_anti") for name, t in tables.items()}
+    held = None
+    for t in tables.values():
+        k = t.select(keys)
+        held = k if held is None else held.unionByName(k)
+    return left, gone.select(keys).distinct().join(held.distinct().withColumn("found", F.lit(True)), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def decided(findings: DataFrame, decisions: DataFrame, *, opened: Column, priority: Column, recipient: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings with their decision, tickets, outbox) from a log of decisions, all folds of the same first decision, so that a ticket never
+    stands without its finding's decision, nor a message without its ticket. decisions: finding_id, at, decision, still_open; what is
+    decided again in the same way changes nothing, another decision is a conflict. A ticket and its message have keys that follow from
+    the finding, so a repeated run makes the same ones."""
+    first = decisions.groupBy("finding_id").agg(F.min_by(F.struct("decision", "still_open", "at"), F.struct("at", "decision")).alias("d"), (F.countDistinct("decision") > 1).alias("conflict"))
+    f = findings.join(first, "finding_id", "left").select(*findings.columns, F.coalesce("d.decision", F.lit("proposed")).alias("decision"), F.col("d.still_open").alias("still_open"), F.col("d.at").alias("decided_at"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    t = f.where((F.col("decision") == "confirmed") & opened).select(F.concat(F.lit("ticket-"), F.col("finding_id").cast("string")).alias("ticket_id"), "finding_id", "hotel_id", "department", priority.alias("priority"), F.lit(STATES[0]).alias("state"), F.col("decided_at").alias("created_at"))
+    o = t.select(F.concat("ticket_id", F.lit("-assigned")).alias("send_id"), "ticket_id", "hotel_id", recipient.alias("recipient"), F.lit("pending").alias("state"), F.lit(0).alias("attempts"), F.col("created_at").alias("next_attempt_at"))
+    return f, t, o
+
+
+def outbox_state(outbox: DataFrame, tries: DataFrame) -> DataFrame:
+    """outbox with state, attempts, last_error and next_attempt_at after a log of tries: send_id, at, error (null: sent). The first success
+    ends it; failures before that wait twice as long each time, and MOST_TRIES of them end it too."""
+    sent = F.min(F.when(F.col("error").isNull(), F.col("at")))
+    s = tries.groupBy("send_id").agg(sent.alias("sent_at"))
+    t = tries.join(s, "send_id").where(F.col("sent_at").isNull() | (F.col("at") <= F.col("sent_at")))
+    k = t.groupBy("send_id").agg(F.count("*").cast("int").alias("n"), F.max("at").alias("last"), F.max_by("error", "at").alias("error"), F.min("sent_at").alias("sent_at"))
+    j = outbox.drop("state", "attempts", "next_attempt_at").join(k, "send_id", "left").join(outbox.select("send_id", F.col("next_attempt_at").alias("due_at")), "send_id")
+    wait = backoff_seconds(F.col("n"))
+    state = F.when(F.col("sent_at").isNotNull(), "sent").when(F.col("n").isNull() | wait.isNotNull(), "pending").otherwise("failed")
+    due_at = F.when(F.col("n").isNull(), F.col("due_at")).when(state == "pending", F.col("last") + F.make_dt_interval(secs=F.coalesce(wait, F.lit(0))))
+    rest = [c for c in outbox.columns if c not in ("state", "attempts", "next_attempt_at")]
+    return j.select(*rest, state.alias("state"), F.coalesce("n", F.lit(0)).alias("attempts"), F.substring("error", 1, 300).alias("last_error"), "sent_at", due_at.alias("next_attempt_at"))
+
+
+def replies(log: DataFrame) -> DataFrame:
+    """(review_id, state, draft, approved_text) after a log of (review_id, at, kind, text): the last draft; it is approved where an approval
+    with words in it came after. An approval without any draft before it is not taken."""
+    d = log.where(F.col("kind") == "draft").groupBy("review_id").agg(F.max_by("text", "at").alias("draft"), F.max("at").alias("drafted"))
+    a = log.where((F.col("kind") == "approve") & (F.trim("text") != "")).join(d.select("review_id", "drafted"), "review_id").where(F.col("at") > F.col("drafted")).groupBy("review_id").agg(F.max_by(F.trim("text"), "at").alias("approved_text"))
+    return d.join(a, "review_id", "left").select("review_id", F.when(F.col("approved_text").isNull(), "draft").otherwise("approved").alias("state"), "draft", "approved_text")
+
+
+def reply_facts(findings: DataFrame) -> DataFrame:
+    """(review_id, ready, facts): facts of a reply once every finding is decided; rejected ones give none. findings: review_id, finding_id,
+    type, decision, status, ticket_id."""
+    state = F.when(F.col("decision") == "confirmed", reply_state(F.col("status") == "resolved", F.col("ticket_id").isNotNull()))
+    fact = F.when(state.isNotNull(), F.struct("finding_id", "type", state.alias("state")))
+    g = findings.groupBy("review_id").agg(F.bool_and(F.col("decision") != "proposed").alias("ready"), F.array_sort(F.array_compact(F.collect_list(fact))).alias("f"))
+    facts = F.transform("f", lambda x: F.concat_ws(": ", x["type"], x["state"]))
+    return g.select("review_id", "ready", F.when(F.col("ready"), facts).alias("facts"))

@@ -94,9 +94,9 @@ def findings(rows: DataFrame, known: tuple[str, ...], *, text: str = "text") ->
 
 
 def blinded(rows: DataFrame, rater: str, item: str) -> DataFrame:
-    """rows with place, by the digest of rater and item, and swapped, by its parity."""
-    d = F.sha2(F.concat_ws("|", F.col(rater).cast("string"), F.col(item).cast("string")), 256)
-    return rows.withColumn("place", d).withColumn("swapped", F.conv(F.substring(d, 1, 1), 16, 10).cast("int") % 2 == 1)
+    """rows with place, by a digest of rater and item, and swapped, by the parity of another: the side says nothing of the order."""
+    d = lambda what: F.sha2(F.concat_ws("|", F.lit(what), F.col(rater).cast("string"), F.col(item).cast("string")), 256)
+    return rows.withColumn("place", d("order")).withColumn("swapped", F.conv(F.substring(d("side"), 64, 1), 16, 10).cast("int") % 2 == 1)
 
 
 def adjudicated(values: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
@@ -106,3 +106,24 @@ def adjudicated(values: DataFrame, decisions: DataFrame, key: list[str]) -> Data
     differ = ~F.col("a").eqNullSafe(F.col("b"))
     stray = F.col("decision").isNotNull() & ~F.coalesce(differ, F.lit(False))
     return j.select(*key, F.when(differ, F.col("decision")).otherwise(F.col("a")).alias("final"), (~differ | F.col("decision").isNotNull()).alias("covered"), stray.alias("stray"))
+
+
+def settled(values: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., final) of adjudicated values; a disagreement without a decision, or a decision without a disagreement, refuses all."""
+    from plumbline.operators.checks import refuse
+
+    a = adjudicated(values, decisions, key)
+    name = F.concat_ws("/", *(F.col(k).cast("string") for k in key))
+    refuse(a.where("not covered or stray").select(F.concat(name, F.when(F.col("stray"), ": a decision where none is needed").otherwise(": no decision")).alias("problem")), "adjudication")
+    return a.select(*key, "final")
+
+
+def distributions(answers: str) -> Column:
+    """Answers with probabilities that sum to 1; those that sum to 0, or hold a negative one, have none."""
+
+    def one(a: Column) -> Column:
+        total = F.aggregate(F.map_values(a["probabilities"]), F.lit(0.0), lambda s, p: s + p)
+        fine = (total > 0) & ~F.exists(F.map_values(a["probabilities"]), lambda p: p < 0)
+        return F.struct(a["topic"].alias("topic"), a["answer"].alias("answer"), F.when(fine, F.transform_values(a["probabilities"], lambda _, p: p / total)).alias("probabilities"))
+
+    return F.transform(answers, one)

@@ -10,6 +10,7 @@ from plumbline.functions import text as X
 from plumbline.operators import checks as C
 from plumbline.operators import generated as N
 from plumbline.operators import judging as J
+from plumbline.operators import state as ST
 from plumbline.plans.queries import query, rounded
 
 D = A.table
@@ -344,3 +345,86 @@ def multi_label_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = d.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("item"), "text", cell(k.isin(0, 2)).alias("t1"), F.when(k == 4, "yes").otherwise("0").alias("t2"), cell(k.isin(1, 2)).alias("none"), cell(k != 1).alias("done"))
     drawn = d.select(F.col("doc_id").alias("item"), F.sha2(F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("text_sha256"))
     return C.multi_label_problems(sheet, drawn, "item", ["t1", "t2"])
+
+
+@query("WITH r AS (SELECT c_nationkey, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey) SELECT CAST(c_nationkey AS BIGINT) AS hotel_id, month, count(*) AS reviews, round(avg(o_totalprice), 1) AS mean_score FROM r GROUP BY 1, 2")
+def view_hotel_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view of the catalogue, read in SQL."""
+    from plumbline.plans import catalog
+
+    return catalog.sql(spark, sf_dir, "SELECT hotel_id, month, reviews, round(mean_score, 1) AS mean_score FROM hotel_months")
+
+
+@query("""WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT l_orderkey) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount >= 0.07 AND l_returnflag = 'R' GROUP BY 1)
+SELECT month, round(k / n::DOUBLE, 6) AS rate FROM c JOIN t USING (month)""")
+def function_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function of SQL over the views."""
+    from plumbline.plans import catalog
+
+    return catalog.sql(spark, sf_dir, "SELECT month, round(rate, 6) AS rate FROM rates_of('R')")
+
+
+FINDINGS = "f AS (SELECT o_orderkey AS finding_id, o_orderkey AS review_id, c_nationkey AS hotel_id, o_orderpriority AS department, o_orderstatus = 'F' AS urgent, o_orderdate AS at FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+def decided(spark: SparkSession, sf_dir: str):
+    """Findings from orders; a decision for each line, the first by ship date and number counts."""
+    o, c = D(spark, sf_dir, "orders"), D(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("hotel_id"))
+    f = o.join(c, "o_custkey").select(F.col("o_orderkey").alias("finding_id"), "hotel_id", F.col("o_orderpriority").alias("department"), (F.col("o_orderstatus") == "F").alias("urgent"))
+    at = F.struct("l_shipdate", "l_linenumber")
+    d = D(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), at.alias("at"), F.when(F.col("l_returnflag") == "N", "confirmed").otherwise("rejected").alias("decision"), (F.col("l_linestatus") == "O").alias("still_open"))
+    return ST.decided(f, d, opened=F.col("still_open"), priority=F.when(F.col("urgent"), "urgent").otherwise("normal"), recipient=F.concat(F.lit("desk-"), F.col("hotel_id").cast("string")))
+
+
+FIRST = "l AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'confirmed' ELSE 'rejected' END AS decision, l_linestatus = 'O' AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS k, count(DISTINCT l_returnflag = 'N') OVER (PARTITION BY l_orderkey) > 1 AS conflict FROM lineitem)"
+
+
+@query(f"WITH {FIRST} SELECT o_orderkey AS finding_id, coalesce(decision, 'proposed') AS decision, coalesce(conflict, false) AS conflict FROM orders LEFT JOIN (SELECT * FROM l WHERE k = 1) ON l_orderkey = o_orderkey")
+def finding_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir)[0].select("finding_id", "decision", "conflict")
+
+
+@query(f"WITH {FIRST} SELECT 'ticket-' || o_orderkey || '-assigned' AS send_id, 'ticket-' || o_orderkey AS ticket_id, 'desk-' || c_nationkey AS recipient FROM orders JOIN customer ON o_custkey = c_custkey JOIN l ON l_orderkey = o_orderkey WHERE k = 1 AND decision = 'confirmed' AND o")
+def decision_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir)[2].select("send_id", "ticket_id", "recipient")
+
+
+@query(f"WITH {FIRST}, t AS (SELECT l_orderkey AS id FROM l WHERE k = 1 AND decision = 'confirmed' AND o) SELECT o_orderkey AS finding_id, 'ticket-' || id AS ticket_id, CASE WHEN id IS NOT NULL THEN 'assigned' END AS ticket_state FROM orders LEFT JOIN t ON id = o_orderkey")
+def finding_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, t, _ = decided(spark, sf_dir)
+    return ST.card(f, t).select("finding_id", "ticket_id", "ticket_state")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN value < 15 THEN NULL ELSE 'error ' || event_type END AS error FROM events WHERE value < 30), s AS (SELECT user_id, min(ts) FILTER (WHERE error IS NULL) AS sent FROM e GROUP BY 1),
+k AS (SELECT user_id, count(*) AS n, max(ts) AS last, min(sent) AS sent FROM e JOIN s USING (user_id) WHERE sent IS NULL OR ts <= sent GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id AS send_id, CASE WHEN sent IS NOT NULL THEN 'sent' WHEN n IS NULL OR n < 5 THEN 'pending' ELSE 'failed' END AS state, CAST(coalesce(n, 0) AS INTEGER) AS attempts FROM u LEFT JOIN k USING (user_id)""")
+def outbox_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    box = e.select(F.col("user_id").alias("send_id")).distinct().select("send_id", F.lit("pending").alias("state"), F.lit(0).alias("attempts"), F.lit("2024-01-01").cast("timestamp_ntz").alias("next_attempt_at"))
+    tries = e.where("value < 30").select(F.col("user_id").alias("send_id"), F.col("ts").alias("at"), F.when(F.col("value") >= 15, F.concat(F.lit("error "), "event_type")).alias("error"))
+    return ST.outbox_state(box, tries).select("send_id", "state", "attempts")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value < 50 AS draft, event_type FROM events), d AS (SELECT user_id, max(event_id) AS drafted, arg_max(event_type, event_id) AS draft FROM e WHERE draft GROUP BY 1), a AS (SELECT e.user_id, arg_max(event_type, event_id) AS said FROM e JOIN d ON d.user_id = e.user_id WHERE NOT e.draft AND event_id > drafted GROUP BY 1)
+SELECT user_id AS review_id, CASE WHEN said IS NULL THEN 'draft' ELSE 'approved' END AS state, draft, said AS approved_text FROM d LEFT JOIN a USING (user_id)""")
+def reply_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    return ST.replies(e.select(F.col("user_id").alias("review_id"), F.col("event_id").alias("at"), F.when(F.col("value") < 50, "draft").otherwise("approve").alias("kind"), F.col("event_type").alias("text")))
+
+
+@query("WITH g AS (SELECT DISTINCT user_id FROM events WHERE value < 1), h AS (SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT user_id FROM events WHERE event_type = 'view') SELECT user_id, user_id IN (SELECT user_id FROM h) AS found FROM g")
+def erasure_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    return ST.erased({t: e.where(F.col("event_type") == t) for t in ("click", "view")}, e.where("value < 1"), ["user_id"])[1]
+
+
+@query("WITH r AS (SELECT user_id, list(event_type ORDER BY event_id) AS c, event_id // 500 AS v FROM events GROUP BY user_id, event_id // 500), m AS (SELECT user_id, max(v) AS v FROM r GROUP BY 1), x AS (SELECT r.user_id, unnest(c) AS type, unnest(range(0, len(c))) AS position FROM r JOIN m USING (user_id, v)) SELECT user_id, CAST(position AS INTEGER) AS position, type FROM x")
+def replaced_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumn("v", F.floor(F.col("event_id") / 500))
+    nested = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("type")))), lambda x: F.struct(x["type"].alias("type")))
+    return ST.children(e.groupBy("user_id", "v").agg(nested.alias("c")), ["user_id"], "v", "c")
+
+
+@query("SELECT doc_id, contains(text, substr(text, 3, 9)) AND substr(text, 3, 9) <> '' AS literal, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 END AS code FROM documents")
+def mapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", X.literal_quote(F.col("text"), F.substring("text", 3, 9)).alias("literal"), X.mapped(F.col("lang"), {"en": 1, "de": 2}, strict=False).alias("code"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import re
+import uuid
+from csv import reader as csv_reader
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,13 +49,55 @@ def import_problems(reviews: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [*bad, twice, many])
 
 
+REQUIRED = ("hotel_id", "source", "external_review_id", "text")
+
+
 def import_reviews(reviews: DataFrame) -> DataFrame:
-    bad = [r.asDict() for r in import_problems(reviews).limit(60).collect()]
+    """The reviews, or an error with the first problems; those of a file that was read by `numbered` name their lines."""
+    if missing := [c for c in REQUIRED if c not in reviews.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    problems = import_problems(reviews)
+    if "line" in reviews.columns:
+        key = ["hotel_id", "source", "external_review_id"]
+        first = reviews.groupBy(*key).agg(F.min("line").alias("line"))
+        problems = problems.join(first, key, "left").orderBy("line")
+    bad = [r.asDict() for r in problems.limit(60).collect()]
     if bad:
         raise ValueError(json.dumps(bad, default=str))
     return reviews
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """A file's rows as strings with line, the physical line on which each begins: 1 for the header. A quoted line break counts as a line.
+    One file is read by one task: lines have numbers only from its start."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    header = rows.select(F.split(F.split("value", "\r?\n", 2)[0], ",").alias("h")).first()["h"]
+
+    @F.pandas_udf("array<struct<line:int,cells:array<string>>>")
+    def read(s: pd.Series) -> pd.Series:
+        out = []
+        for text in s:
+            lines = csv_reader(io.StringIO(text, newline=""))
+            found, at = [], 1
+            for cells in lines:
+                found.append((at, cells))
+                at = lines.line_num + 1
+            out.append([{"line": a, "cells": c} for a, c in found[1:]])
+        return pd.Series(out)
+
+    r = rows.select(F.explode(read("value")).alias("r"))
+    return r.select("r.line", *(F.try_element_at("r.cells", F.lit(i + 1)).alias(h.strip().strip('"')) for i, h in enumerate(header)))
+
+
+def loose_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): whole files as text, by their byte order mark or UTF-8, else as Latin-1."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    mark = F.hex(F.substring("content", 1, 2))
+    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
+    text = F.when(mark.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).otherwise(F.coalesce(utf8, F.decode("content", "ISO-8859-1")))
+    return raw.select("path", F.regexp_replace(text, "^\ufeff", "").alias("value"))
+
+
 def paragraphs(texts: DataFrame, column: str = "value") -> DataFrame:
     """(source row, position, text): blank lines end a review, white space is collapsed."""
     r = texts.select("*", F.posexplode(F.split(F.col(column), r"\n\s*\n")).alias("position", "piece"))
@@ -88,6 +135,39 @@ def digests(spark: SparkSession, path) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def digest_of_files(spark: SparkSession, path) -> str:
+    """One digest over many files: of their names and digests in the order of names."""
+    d = digests(spark, path).select(F.concat_ws("  ", "sha256", F.substring_index("path", "/", -1)).alias("line"), F.substring_index("path", "/", -1).alias("name"))
+    return hashlib.sha256("\n".join(r["line"] for r in d.orderBy("name").toLocalIterator()).encode()).hexdigest()
+
+
+def publish(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Writes beside the path and renames: readers see the old folder or the whole new one. A path that is there already is an error."""
+    spark = df.sparkSession
+    jvm, beside = spark.sparkContext._jvm, f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
+    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(target):
+        raise FileExistsError(path)
+    df.write.format(form).save(beside)
+    if not store.rename(source, target):
+        store.delete(source, True)
+        raise OSError(f"{path} could not be put in place")
+
+
+def yaml_entries(text: str) -> list[dict]:
+    """Entries of a catalogue written in YAML, where that library is at hand."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the yaml package") from e
+    found = yaml.safe_load(text)
+    entries = found.get("types", []) if isinstance(found, dict) else found
+    if not isinstance(entries, list) or not all(isinstance(e, dict) for e in entries):
+        raise ValueError("the catalogue is no list of types")
+    return entries
+
+
 def assert_identity(spark: SparkSession, path: str, length: int, sha256: str) -> None:
     r = digests(spark, path).first()
     if r is None or (r["length"], r["sha256"]) != (length, sha256):

@@ -171,3 +171,58 @@ def test_judgements(spark):
     sheet = rows(spark, [("a", 1, 1, 1, 0, 0, 1, 0, 0, 0, False), ("b", 0, 0, 0, 0, 0, 2, 1, 1, 0, False), ("c", 1, 1, 1, 1, 0, 1, 0, 0, 0, True)], "blind_id string, n_actions int, useful int, useful_actions int, wrong_department int, unnecessary int, actual int, missed int, unaddressed int, invented int, failed boolean")
     assert {(r[0], r[1]) for r in J.ratings_refused(sheet).collect()} == {("b", "nothing accepted, yet addressed"), ("c", "more judged than accepted"), ("c", "failed and useful"), ("c", "useful with shortcomings")}
     assert J.coverage(sheet).first()["addressed"] == 0.75
+
+
+def test_small_rules(spark, tmp_path):
+    import hashlib
+
+    from plumbline.functions import stats as S
+    from plumbline.operators import trends as T
+    from plumbline.plans import catalog
+    from plumbline.sources import files
+
+    n = lambda x: F.lit(float(x))
+    low, high = spark.range(1).select(*S.wilson(n(0), n(10))).first()
+    assert low == 0.0 and 0 < high < 1 and spark.range(1).select(*S.wilson(n(0), n(0))).first()[0] is None
+    with pytest.raises(Exception, match="success in each sample"):
+        spark.range(1).select(*S.katz(n(0), n(9), n(3), n(9), strict=True)).collect()
+    with pytest.raises(Exception, match="too few dates"):
+        D.time_split(rows(spark, [("a", 1), ("b", 2)], "day string, id int"), "day", train=0.8, dev=0.1).collect()
+    shared = rows(spark, [(1, "train"), (1, "test")], "k int, split string")
+    with pytest.warns(UserWarning, match="splits share"):
+        assert len(D.assert_disjoint(shared, "k", policy="warn")) == 1
+    assert D.assert_disjoint(shared, "k", policy="ignore")
+    t = rows(spark, [(1, "a", 0), (2, "b", 1)], "at int, text string, label int")
+    want = hashlib.sha256(b"".join(len(x).to_bytes(8, "big") + x for x in (b"a", b"0", b"b", b"1"))).hexdigest()
+    assert D.ordered_digest(t.repartition(2), "at", "text", "label") == want
+    twice = rows(spark, [(1, "x"), (2, "x"), (3, "y")], "id int, k string")
+    assert D.duplicates(twice, "k", "drop", "id").count() == 2 and D.duplicates(twice, "k", "keep", "id").select("group").distinct().count() == 3
+    short = D.shortfalls(rows(spark, [("a",), ("a",)], "drawn_for string"), {"a": 2, "b": 1}).collect()
+    assert [tuple(r) for r in short] == [("b", 1, 0)]
+    with pytest.raises(ValueError, match="no decision"):
+        R.settled(rows(spark, [(1, 0, 1)], "k int, a int, b int"), rows(spark, [], "k int, decision int"), ["k"])
+    assert [tuple(r) for r in R.settled(rows(spark, [(1, 0, 1), (2, 1, 1)], "k int, a int, b int"), rows(spark, [(1, 1)], "k int, decision int"), ["k"]).orderBy("k").collect()] == [(1, 1), (2, 1)]
+    assert M.pooled(rows(spark, [("a", 1), ("a", 0), ("b", 1), ("b", None)], "s string, v int"), "v", "s", rows(spark, [("a", 10), ("b", 30)], "s string, size int")).first()["share"] == 0.875
+    assert M.quantiles(rows(spark, [(1.0,), (2.0,), (4.0,)], "v double"), [], "v", [0.5, 0.75]).first()["q"] == [2.0, 3.0]
+    assert tuple(M.invalid_quotes(rows(spark, [("a", "abc"), ("z", "abc"), (None, "abc")], "q string, t string"), "q", "t").first()) == (2, 1)
+    assert T.disagreement(t, t, "at", "label").first()["most"] == 0 and T.disagreement(t, t.where("at = 1"), "at", "label").first()["most"] is None
+    p = tmp_path / "r.csv"
+    p.write_text('hotel_id,source,external_review_id,text\n1,s,x,"two\nlines"\n1,s,y,ok\n', encoding="utf-8")
+    assert [(r["line"], r["text"]) for r in files.numbered(spark, str(p)).orderBy("line").collect()] == [(2, "two\nlines"), (4, "ok")]
+    (tmp_path / "l.txt").write_bytes("caf\u00e9".encode("latin-1"))
+    (tmp_path / "u.txt").write_bytes("\ufeffcaf\u00e9".encode())
+    assert {r["value"] for r in files.loose_text(spark, f"{tmp_path}/*.txt").collect()} == {"caf\u00e9"}
+    files.publish(t, f"file://{tmp_path}/out")
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2 and not list(tmp_path.glob("*.part"))
+    with pytest.raises(FileExistsError):
+        files.publish(t, f"file://{tmp_path}/out")
+    a = files.digest_of_files(spark, f"file://{tmp_path}/*.txt")
+    (tmp_path / "u.txt").write_bytes(b"other")
+    assert a != files.digest_of_files(spark, f"file://{tmp_path}/*.txt")
+    with pytest.raises(ValueError, match="missing columns"):
+        files.import_reviews(t)
+    catalog.from_frames(spark, own=t)
+    catalog.register(spark)
+    assert spark.sql("SELECT canonical_text('A  b') AS c, count(*) AS n FROM own").first()["c"] == "a b"
+    b = R.blinded(rows(spark, [("r", i) for i in range(200)], "rater string, item int"), "rater", "item").orderBy("place").collect()
+    assert 60 < sum(r["swapped"] for r in b) < 140 and [r["item"] for r in b] != list(range(200))
