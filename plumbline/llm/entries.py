@@ -95,6 +95,17 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p JOIN g USING (payload_digest)
 """
 
+SQL["op2_jaccard_rtree"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT node, b FROM reach JOIN sides ON other = a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach ON node = d.doc_id GROUP BY 1, 2
+"""
+
 SQL["op9_suffix_repeats"] = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, p, substring(x, 2 * p + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS u(p) WHERE n >= 50),
