@@ -13,7 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 #: Views in SQL over the tables.
 VIEWS = {
-    "hotel_months": "SELECT hotel_id, month, count(*) AS reviews, avg(score) AS mean_score FROM reviews GROUP BY hotel_id, month",
+    "hotel_months": "SELECT hotel_id, month, count(*) AS reviews, sum(score) AS total_score, avg(score) AS mean_score FROM reviews GROUP BY hotel_id, month",
     "complaint_months": "SELECT c.topic, r.month, count(*) AS complaining FROM complaints c JOIN reviews r ON r.review_id = c.review_id GROUP BY c.topic, r.month",
 }
 

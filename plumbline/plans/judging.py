@@ -347,12 +347,12 @@ def multi_label_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.multi_label_problems(sheet, drawn, "item", ["t1", "t2"])
 
 
-@query("WITH r AS (SELECT c_nationkey, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey) SELECT CAST(c_nationkey AS BIGINT) AS hotel_id, month, count(*) AS reviews, round(avg(o_totalprice), 1) AS mean_score FROM r GROUP BY 1, 2")
+@query("WITH r AS (SELECT c_nationkey, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey) SELECT CAST(c_nationkey AS BIGINT) AS hotel_id, month, count(*) AS reviews, round(sum(o_totalprice), 2) AS total_score FROM r GROUP BY 1, 2")
 def view_hotel_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view of the catalogue, read in SQL."""
     from plumbline.plans import catalog
 
-    return catalog.sql(spark, sf_dir, "SELECT hotel_id, month, reviews, round(mean_score, 1) AS mean_score FROM hotel_months")
+    return catalog.sql(spark, sf_dir, "SELECT hotel_id, month, reviews, round(total_score, 2) AS total_score FROM hotel_months")
 
 
 @query("""WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT l_orderkey) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount >= 0.07 AND l_returnflag = 'R' GROUP BY 1)

@@ -353,10 +353,10 @@ def pairwise_discordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.discordance(A.predictions(spark, sf_dir), "truth", "a", "b")
 
 
-@query()
+@query(PR + ", d AS (SELECT count(*) FILTER (WHERE a = truth AND b <> truth) AS x, count(*) FILTER (WHERE a <> truth AND b = truth) AS y FROM p), t AS (SELECT x, y, unnest(range(0, least(x, y) + 1)) AS k FROM d) SELECT x AS only_a, y AS only_b, round(least(1, 2 * sum(exp(lgamma(x + y + 1) - lgamma(k + 1) - lgamma(x + y - k + 1) - (x + y) * ln(2)))), 6) AS p FROM t GROUP BY 1, 2")
 def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = pairwise_discordance(spark, sf_dir).first()
-    return spark.createDataFrame([(r["only_a"], r["only_b"], S.mcnemar(r["only_a"], r["only_b"]))], "only_a long, only_b long, p double")
+    return spark.createDataFrame([(r["only_a"], r["only_b"], round(S.mcnemar(r["only_a"], r["only_b"]), 6))], "only_a long, only_b long, p double")
 
 
 @query()
