@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,3 +130,11 @@ def distributions(answers: str) -> Column:
         return F.struct(a["topic"].alias("topic"), a["answer"].alias("answer"), F.when(fine, F.transform_values(a["probabilities"], lambda _, p: p / total)).alias("probabilities"))
 
     return F.transform(answers, one)
+
+
+def question_bank(spark, questions: dict[str, tuple[str, str, str]], version: str) -> tuple[DataFrame, str]:
+    """(the questions as a table, their digest): topic -> (what is asked, what counts, what doesn't). The digest covers the version and every
+    word, so answers can name the bank they were given to."""
+    digest = hashlib.sha256(json.dumps({"version": version, "questions": questions}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    rows = [(i, topic, *words, version, digest) for i, (topic, words) in enumerate(questions.items())]
+    return spark.createDataFrame(rows, "position int, topic string, ask string, counts string, other string, version string, bank_sha256 string"), digest

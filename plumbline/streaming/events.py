@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,3 +69,26 @@ def landed(stream: DataFrame, keys: list[str]) -> DataFrame:
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     log = spark.read.schema(schema).parquet(f"{path}/rows")
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest)).select(stream.columns)
+
+
+RETRY = "send_id string, state string, attempts int, next_attempt_at timestamp"
+
+
+def retries(tries: DataFrame, *, base_seconds: int = 30, most: int = 5) -> DataFrame:
+    """(send_id, state, attempts, next_attempt_at) of a stream of tries (send_id string, at timestamp, ok boolean), kept for each message
+    between batches: a success ends it, a failure waits twice as long as the one before, and `most` of them end it. What comes after its
+    end changes nothing. Tries of one batch count in the order of their time."""
+
+    def step(key, frames, state):
+        status, n, due = state.get if state.exists else ("pending", 0, None)
+        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+        for at, ok in zip(rows["at"], rows["ok"], strict=True):
+            if status == "pending":
+                n += 1
+                status = "sent" if ok else "failed" if n >= most else "pending"
+                due = (at + pd.Timedelta(seconds=base_seconds * 2 ** (n - 1))).to_pydatetime() if status == "pending" else None
+        state.update((status, n, due))
+        yield pd.DataFrame({"send_id": [key[0]], "state": [status], "attempts": [n], "next_attempt_at": [due]})
+
+    kept = "state string, attempts int, next_attempt_at timestamp"
+    return tries.groupBy("send_id").applyInPandasWithState(step, RETRY, kept, "update", "NoTimeout")

@@ -226,3 +226,27 @@ def test_small_rules(spark, tmp_path):
     assert spark.sql("SELECT canonical_text('A  b') AS c, count(*) AS n FROM own").first()["c"] == "a b"
     b = R.blinded(rows(spark, [("r", i) for i in range(200)], "rater string, item int"), "rater", "item").orderBy("place").collect()
     assert 60 < sum(r["swapped"] for r in b) < 140 and [r["item"] for r in b] != list(range(200))
+
+
+def test_questions_and_models(spark):
+    from plumbline.operators import models as ML
+
+    q, digest = R.question_bank(spark, {"bathroom": ("ask", "counts", "other"), "pests": ("a", "b", "c")}, "v1")
+    assert q.count() == 2 and q.select("bank_sha256").distinct().first()[0] == digest != R.question_bank(spark, {"bathroom": ("ask", "counts", "other")}, "v1")[1]
+    train = rows(spark, [("good lovely room", 1.0), ("bad awful room", 0.0)] * 6, "text string, label double")
+    model, o = ML.chosen(train, train, [{"kind": "nb", "grams": "characters"}, {"kind": "nb"}])
+    assert o == {"kind": "nb", "grams": "characters"}
+    got = {r["id"]: r["predicted"] for r in ML.score(rows(spark, [(1, "lovely goods"), (2, "awfully bad"), (3, None)], "id int, text string"), model, "id").collect()}
+    assert got[1] == 1 and got[2] == 0 and 3 in got
+
+
+def test_retries_keep_their_state_between_batches(spark, tmp_path):
+    from plumbline.streaming import events as E
+
+    at = lambda h: datetime(2024, 1, 1, h)
+    batches = [[("a", at(1), False), ("b", at(1), False), ("c", at(1), True)], [("a", at(2), False), ("b", at(2), True), ("c", at(2), False)], [("b", at(3), False), ("a", at(3), False), ("a", at(4), False), ("a", at(5), False)]]
+    for i, b in enumerate(batches):
+        rows(spark, b, "send_id string, at timestamp, ok boolean").coalesce(1).write.parquet(f"{tmp_path}/in.parquet/{i}")
+    stream = spark.readStream.schema("send_id string, at timestamp, ok boolean").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in.parquet")
+    got = {r["send_id"]: (r["state"], r["attempts"], r["next_attempt_at"]) for r in E.landed(E.retries(stream), ["send_id"]).collect()}
+    assert got == {"a": ("failed", 5, None), "b": ("sent", 2, None), "c": ("sent", 1, None)}
