@@ -306,14 +306,17 @@ def candidate_edges(lists: DataFrame, facts: DataFrame, parts: int) -> DataFrame
 
 def verified_edges(rows: DataFrame, groups: DataFrame, parts: int, block: int) -> DataFrame:
     """Links that span the components: texts in candidate groups, their sets compared within the group."""
-    slots = groups.select(F.pmod(F.xxhash64("node"), F.lit(FILTER)).cast("int").alias("s")).distinct().collect()
-    mask = np.zeros(FILTER, bool)
-    mask[[r["s"] for r in slots]] = True
-    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(mask))
+    # the filter's slots as 64-bit words, joined on the executors: FILTER / 64 rows at most
+    slot = F.pmod(F.xxhash64("node"), F.lit(FILTER))
+    words = groups.select(F.floor(slot / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
+    mask = np.zeros(FILTER // 64, "<i8")
+    for r in words:
+        mask[r["w"]] = r["bits"]
+    wanted = rows.sparkSession.sparkContext.broadcast(mask.view(np.uint8))
 
     def some(batches):
         for batch in batches:
-            here = np.unpackbits(wanted.value).view(bool)[batch.column("slot").to_numpy()]
+            here = np.unpackbits(wanted.value, bitorder="little").view(bool)[batch.column("slot").to_numpy()]
             kept = batch.filter(pa.array(here))
             if kept.num_rows:
                 yield kept.select(["id", "text"])
