@@ -250,3 +250,13 @@ def test_retries_keep_their_state_between_batches(spark, tmp_path):
     stream = spark.readStream.schema("send_id string, at timestamp, ok boolean").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in.parquet")
     got = {r["send_id"]: (r["state"], r["attempts"], r["next_attempt_at"]) for r in E.landed(E.retries(stream), ["send_id"]).collect()}
     assert got == {"a": ("failed", 5, None), "b": ("sent", 2, None), "c": ("sent", 1, None)}
+
+
+def test_decisions_of_one_time_fold_alike_however_rows_lie(spark):
+    log = [(1, 5, "confirmed", True), (1, 5, "confirmed", False), (1, 6, "rejected", True), (2, 5, "rejected", False), (2, 5, "confirmed", True), (3, 4, "confirmed", True)]
+    findings = rows(spark, [(1, 1, "d"), (2, 1, "d"), (3, 1, "d")], "finding_id int, hotel_id int, department string")
+    for order in (log, log[::-1]):
+        d = rows(spark, order, "finding_id int, at int, decision string, still_open boolean").coalesce(1)
+        f, t, o = ST.decided(findings, d, opened=F.col("still_open"), priority=F.lit("normal"), recipient=F.lit("desk"))
+        assert {r["finding_id"]: (r["decision"], r["still_open"], r["conflict"]) for r in f.collect()} == {1: ("confirmed", False, True), 2: ("confirmed", True, True), 3: ("confirmed", True, False)}
+        assert sorted(r["ticket_id"] for r in t.collect()) == sorted(r["ticket_id"] for r in o.collect()) == ["ticket-2", "ticket-3"]
