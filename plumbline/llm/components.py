@@ -55,12 +55,14 @@ def _contract(batches):
     yield from stars(forest)
 
 
-def components(edges: DataFrame, what: str = "stars") -> DataFrame:
-    """(node, component): every node that an edge names, with the least node it is joined to. edges: a, b long.
+def components(edges: DataFrame, what: str = "stars", parts: int | None = None) -> DataFrame:
+    """(node, component): every node that an edge names, with the least node it is joined to. edges: a, b long. parts: the most
+    files that a round writes; without it there are as many as shuffle partitions, each a few rows where edges are few.
 
     Each round joins every node's larger neighbours, then its smaller ones, to its least neighbour; rounds end when the
     edges no longer change. A star's centre is a hot join key, which adaptive execution splits."""
-    now = stored(edges.where("a <> b").mapInArrow(_contract, EDGES), what)
+    now = edges.where("a <> b")
+    now = stored((now.repartition(parts) if parts else now).mapInArrow(_contract, EDGES), what)
     state = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -70,7 +72,8 @@ def components(edges: DataFrame, what: str = "stars") -> DataFrame:
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), what)
+        after = small.union(low.select("a", F.col("m").alias("b"))).distinct()
+        now = stored(after.coalesce(parts) if parts else after, what)
         after = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)), F.countDistinct("a")).first())
         if after == state or after[0] == 0:
             break

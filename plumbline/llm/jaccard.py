@@ -38,6 +38,8 @@ CHUNK = 1 << 20
 #: Bytes of text for each partition that makes a sketch, and for each partial sum of sketches.
 SKETCHED, SUMMED = 48 << 20, 2 << 30
 BLOCK = 1024
+#: Bytes of text for each partition, and so for each file that a step writes.
+PART = 16 << 20
 #: Hash slots of the filter that spares texts in no candidate component the second look; a full filter only spares none.
 FILTER = 1 << 20
 
@@ -366,20 +368,20 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, forest: Fo
                 label[label == max(a, b)] = min(a, b)
 
 
-def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, total: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row. total: the texts' bytes, where they are known."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    total = text_bytes(rows, "text")
-    parts = parts_for(total, 16 << 20, 8)
+    total = text_bytes(rows, "text") if total is None else total
+    parts = parts_for(total, PART, 8)
     node = F.xxhash64("id", "text").alias("node")
     facts, sketch = described(rows.select(F.struct("id", node).alias("id"), "text").coalesce(parts_for(total, SKETCHED)))
     known = facts.where("id is not null and n > 0")
     level = spark.sparkContext.broadcast(levels(sketch, total))
     named = rows.where("id is not null").select(node.alias("id"), "text")
     lists = shared_prefixes(named, level, parts, 2 * block)
-    near = stored(candidate_edges(lists, known, parts), "candidates")
-    found = verified_edges(named, components(near), parts, block)
+    near = components(candidate_edges(lists, known, parts), parts=parts)
+    found = verified_edges(named, near, parts, block)
     names = known.select("node", "id").distinct()
     for end in ("a", "b"):
         found = found.join(names.select(F.col("node").alias(end), F.col("id").alias("doc")), end).drop(end).withColumnRenamed("doc", end)
@@ -387,11 +389,12 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block:
     # equal sets join without being compared
     first = known.groupBy("print", "n").agg(F.min("id").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
     equal = known.join(first, ["print", "n"]).where("id <> b").select(F.col("id").alias("a"), "b")
-    parts_ = components(found.union(equal)).withColumnRenamed("node", "id")
-    return facts.join(parts_, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    joined = components(found.union(equal), parts=parts).withColumnRenamed("node", "id")
+    return facts.join(joined, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, without those that link, directly or by others, with a smaller doc_id."""
-    drop = links(docs, doc_id=doc_id, **options).where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias(doc_id)).distinct()
-    return docs.join(drop, doc_id, "left_anti").select(docs.columns)
+    total = text_bytes(docs.select(F.col(text).cast("string").alias("text")), "text")
+    drop = links(docs, doc_id=doc_id, text=text, total=total, **options).where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias(doc_id)).distinct()
+    return docs.join(drop, doc_id, "left_anti").select(docs.columns).coalesce(parts_for(total, PART, 8))

@@ -126,3 +126,27 @@ def test_stages_on_empty_tables_and_clashing_names(spark, data, folder):
     assert jaccard.one_of_each(twice).schema == twice.schema
     assert decontam.clean_documents(twice, corpus_pipeline.table(spark, folder, "benchmark").where("false")).count() == 5
     assert repeats.without_repeats(twice).schema == twice.schema and packing.pack(twice, corpus_pipeline.vocabulary("word_bpe_49k.json")).count() == 5
+
+
+def test_near_duplicates_write_files_by_their_size(spark):
+    """Few edges and documents go to few files, whatever the number of shuffle partitions; links are the same."""
+    from pathlib import Path
+
+    from plumbline.llm.common import local_path, shared_root
+
+    base = [" ".join(f"w{(i * 7919 + k) % 5000}" for k in range(60)) for i in range(12)]
+    docs = spark.createDataFrame([(i, base[i % 12] + (" tail" if i >= 24 else "")) for i in range(36)] + [(99, None)], "doc_id long, text string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    root = Path(local_path(shared_root(spark)))
+    before = set(root.glob("*"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = jaccard.one_of_each(docs)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [*range(12), 99]
+        assert kept.rdd.getNumPartitions() <= 8
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    made = [len(list(d.glob("part-*"))) for d in set(root.glob("*")) - before]
+    assert made and max(made) <= 8
