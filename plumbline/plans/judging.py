@@ -377,8 +377,8 @@ def decided(spark: SparkSession, sf_dir: str, *, hotels: bool = False):
         o = o.withColumn("hotel_id", F.lit(None).cast("int"))
     f = o.select(F.col("o_orderkey").alias("finding_id"), "hotel_id", F.col("o_orderpriority").alias("department"), (F.col("o_orderstatus") == "F").alias("urgent"))
     at = F.struct(F.col("l_shipdate").isNull().alias("undated"), "l_shipdate", F.col("l_linenumber").isNull().alias("unnumbered"), "l_linenumber")
-    d = D(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), at.alias("at"), F.when(F.col("l_returnflag") == "N", "confirmed").otherwise("rejected").alias("decision"), (F.col("l_linestatus") == "O").alias("still_open"))
-    return ST.decided(f, d, opened=F.col("still_open"), priority=F.when(F.col("urgent"), "urgent").otherwise("normal"), recipient=F.concat(F.lit("desk-"), F.col("hotel_id").cast("string")))
+    d = D(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), at.alias("at"), F.when(F.col("l_returnflag") == "N", "confirmed").when(F.col("l_returnflag").isNotNull(), "rejected").alias("decision"), (F.col("l_linestatus") == "O").alias("still_open"))
+    return ST.decided(f, d, opened=F.col("still_open"), priority=F.when(F.col("urgent"), "urgent").otherwise("normal"), recipient=F.concat(F.lit("desk-"), F.col("hotel_id").cast("string")), unstated="rejected")
 
 
 FIRST = "l AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'confirmed' ELSE 'rejected' END AS decision, l_linestatus = 'O' AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS k, count(DISTINCT l_returnflag = 'N') OVER (PARTITION BY l_orderkey) > 1 AS conflict FROM lineitem)"

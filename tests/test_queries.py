@@ -46,3 +46,12 @@ def test_cards_are_those_of_the_sql(spark, tmp_path):
     got, want = both(spark, tmp_path, "finding_cards", lines, orders, [(1, 1), (2, 1), (2, 2)])
     assert got == want and len(got) == len(orders)
     assert {r[0] for r in got if r[1]} == {1, 2, 3, 4, 5, 6}
+
+
+def test_decisions_are_those_of_the_sql(spark, tmp_path):
+    """A line without a flag is rejected, but conflicts with nothing."""
+    lines = [(1, 1, "N", "O", 1), (1, 2, None, "F", 2), (2, 1, None, "O", 1), (2, 2, "N", "O", 2), (3, 1, None, "O", 1), (3, 2, "A", "O", 2), (4, 1, None, "O", 1), (5, 1, None, "O", 1), (5, 2, "N", "O", 2), (5, 3, "R", "O", 3), (6, 1, "N", "O", None), (6, 2, "A", "O", 2)]
+    got, want = both(spark, tmp_path, "finding_decisions", lines, [(k, 1) for k in range(1, 8)], [(1, 1)])
+    assert got == want
+    assert [r[1] for r in got] == ["confirmed", *["rejected"] * 5, "proposed"]
+    assert [r[0] for r in got if r[2]] == [5, 6]
